@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import exactdedup, langid, mixing, sharding
+from . import decontam, exactdedup, langid, mixing, sharding, simhash
 
 QUERIES = {
+    "op1_simhash": simhash.query,
+    "op4_decontamination": decontam.query,
     "op6_exact_dedup": exactdedup.query,
     "op7_sharding": sharding.query,
     "op8_language_id": langid.query,
     "op10_mixing": mixing.query,
 }
 ORACLE_SQL = {
+    "op4_decontamination": decontam.sql(),
     "op6_exact_dedup": exactdedup.SQL,
     "op7_sharding": sharding.sql(),
 }

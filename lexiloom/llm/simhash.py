@@ -260,7 +260,7 @@ def groups(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
 
 def dedup(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """The rows of ``docs`` but for near copies of a document that stays, with all their columns."""
-    return without_ids(docs, groups(docs, budget).where("not kept").select("doc_id").distinct())
+    return without_ids(docs, table(groups(docs, budget).where("not kept").select("doc_id").distinct()))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
