@@ -14,13 +14,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, pick, table
 from .textvec import mix
 
 DIGESTS_A_BUCKET = 20_000  # a filter of some 25 kB
+FILTER_DIGESTS = 8_000_000  # repeated digests that may be sent as one filter: 9 MB
 
 
 def _places(keys: np.ndarray, seed: int, segment: int, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -108,7 +109,7 @@ def _digests(docs: DataFrame) -> DataFrame:
     return docs.where("text is not null").select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"), F.xxhash64("text").alias("k"))
 
 
-def dedup(snapshot: DataFrame, batch: DataFrame, digests_a_bucket: int = DIGESTS_A_BUCKET) -> DataFrame:
+def dedup(snapshot: DataFrame, batch: DataFrame, digests_a_bucket: int = DIGESTS_A_BUCKET, filter_digests: int = FILTER_DIGESTS) -> DataFrame:
     """doc_id, keep_id, kind for the rows of both tables (columns doc_id, text).
 
     kind: 'kept', 'copy_of_snapshot' (a batch text that the snapshot has) or 'copy_in_batch' (a text that an earlier row
@@ -121,40 +122,50 @@ def dedup(snapshot: DataFrame, batch: DataFrame, digests_a_bucket: int = DIGESTS
     filters = table(snapshot_filters(store, buckets))
     screened = table(screen(later, filters, buckets))
     known = screened.where("maybe").join(store.select(F.col("digest").alias("d"), F.col("keep").alias("old_keep")), F.col("digest") == F.col("d")).groupBy("digest").agg(F.min("old_keep").alias("old_keep"))
-    fresh = screened.groupBy("digest").agg(F.min("doc_id").alias("new_keep"), F.count("*").alias("n"))
-    groups = (
-        fresh.join(known, "digest", "left")
-        .where("n > 1 or old_keep is not null")
-        .select("digest", F.coalesce("old_keep", "new_keep").alias("keep"), F.col("old_keep").isNotNull().alias("stored"))
-        .unionByName(store.where("n > 1").select("digest", "keep", F.lit(True).alias("stored")))
-        .groupBy("digest").agg(F.min("keep").alias("keep"), F.max("stored").alias("stored"))
+    fresh = screened.groupBy("digest").agg(F.min("k").alias("k"), F.count("*").alias("n"))
+    repeated = (
+        fresh.join(known, "digest", "left").where("n > 1 or old_keep is not null").select("digest", "k")
+        .unionByName(store.where("n > 1").select("digest", "k")).distinct()
     )
-    groups = table(groups)
-    # byte check: all texts of a digest are one text if the least and the greatest are
-    texts = old.select("doc_id", "text", F.lit(False).alias("late")).unionByName(new.select("doc_id", "text", F.lit(True).alias("late"))).where("text is not null")
-    texts = texts.withColumn("digest", F.unhex(F.sha2("text", 256))).join(groups.select("digest"), "digest", "left_semi")
-    checked = texts.groupBy("digest").agg((F.min("text") == F.max("text")).alias("same"))
-    judged = table(groups.join(checked, "digest"))
-    # digests that two texts share (none is known to exist) are told apart by text
-    clash = texts.join(judged.where("not same").select("digest"), "digest", "left_semi")
-    clash = clash.groupBy("digest", "text").agg(F.min(F.when(~F.col("late"), F.col("doc_id"))).alias("o"), F.min("doc_id").alias("a"))
-    clash = clash.select("digest", "text", F.coalesce("o", "a").alias("keep"), F.col("o").isNotNull().alias("stored"))
-    clash = texts.where("doc_id is not null").join(clash, ["digest", "text"]).select("doc_id", "keep", "stored")
-    rows = first.select("doc_id", "digest", F.lit(False).alias("late")).unionByName(later.select("doc_id", "digest", F.lit(True).alias("late")))
-    ok = judged.where("same").select(F.col("digest").alias("d"), "keep", "stored")
-    rows = rows.join(ok, F.col("digest") == F.col("d"), "left").select("doc_id", "late", "keep", "stored")
-    other = clash.select(F.col("doc_id").alias("c"), F.col("keep").alias("keep2"), F.col("stored").alias("stored2"))
-    rows = rows.join(other, F.col("doc_id") == F.col("c"), "left").select("doc_id", "late", F.coalesce("keep", "keep2").alias("keep"), F.coalesce("stored", "stored2").alias("stored"))
-    nulls = old.where("text is null").select("doc_id", F.lit(False).alias("late")).unionByName(new.where("text is null").select("doc_id", F.lit(True).alias("late")))
-    rows = rows.unionByName(nulls.select("doc_id", "late", F.col("doc_id").alias("keep"), F.lit(False).alias("stored")))
-    alone = F.col("keep").isNull() | F.col("keep").eqNullSafe(F.col("doc_id"))
-    return rows.select(
+    repeated = table(repeated)
+    # byte check: only rows whose digest repeats move with their texts; copies are equal texts, whatever the digests say
+    rows = old.withColumn("late", F.lit(False)).unionByName(new.withColumn("late", F.lit(True)))
+    rows = rows.withColumn("k", F.xxhash64("text"))
+    suspects, alone = _split(rows, repeated, filter_digests)
+    w = Window.partitionBy("digest", "text")
+    moved = suspects.withColumn("digest", F.unhex(F.sha2("text", 256))).repartition("digest")
+    judged = moved.select(
+        "doc_id", "late",
+        F.coalesce(F.min(F.when(~F.col("late"), F.col("doc_id"))).over(w), F.min("doc_id").over(w)).alias("keep"),
+        F.max(~F.col("late")).over(w).alias("stored"),
+    )
+    out = judged.unionByName(alone.select("doc_id", "late", F.col("doc_id").alias("keep"), F.lit(False).alias("stored")))
+    alone_now = F.col("keep").isNull() | F.col("keep").eqNullSafe(F.col("doc_id"))
+    return out.select(
         "doc_id",
         F.coalesce("keep", "doc_id").alias("keep_id"),
-        F.when(alone, "kept").when(F.col("late") & F.col("stored"), "copy_of_snapshot").otherwise("copy_in_batch").alias("kind"),
+        F.when(alone_now, "kept").when(F.col("late") & F.col("stored"), "copy_of_snapshot").otherwise("copy_in_batch").alias("kind"),
     )
 
 
+def _split(rows: DataFrame, repeated: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with text whose digest may be among ``repeated``, and the others. Up to ``most`` digests, a fuse filter of
+    them (9 bits each) goes to the executors and no text moves for this; beyond, a join by key tells them apart."""
+    if repeated.count() <= most:
+        keys = np.array([r[0] for r in repeated.select("k").toLocalIterator()], np.int64).view(np.uint64)
+        sent = rows.sparkSession.sparkContext.broadcast(build(keys) if len(keys) else None)
+
+        @F.pandas_udf("boolean")
+        def repeats(k: pd.Series) -> pd.Series:
+            return pd.Series(contains(sent.value, k.to_numpy().view(np.uint64)) if sent.value else np.zeros(len(k), bool))
+
+        marked = rows.withColumn("again", repeats("k") & F.col("text").isNotNull())
+        return marked.where("again").drop("again"), marked.where("not again").drop("again", "text")
+    held = repeated.select(F.col("k").alias("rk")).distinct()
+    again = (F.col("k") == F.col("rk")) & F.col("text").isNotNull()
+    return rows.join(held, again, "left_semi"), rows.join(held, again, "left_anti").drop("text")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """The lower half of the doc_ids is the snapshot, all else the incoming batch."""
     arrow_batches(spark)
