@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontam, exactdedup, langid, mixing, sharding, simhash
+from . import decontam, exactdedup, langid, linededup, mixing, sharding, simhash, tokencounts
 
 QUERIES = {
     "op1_simhash": simhash.query,
     "op4_decontamination": decontam.query,
+    "op5_line_dedup": linededup.query,
     "op6_exact_dedup": exactdedup.query,
     "op7_sharding": sharding.query,
     "op8_language_id": langid.query,
+    "op9_token_counts": tokencounts.query,
     "op10_mixing": mixing.query,
 }
 ORACLE_SQL = {
