@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, exactdedup, langid, linededup, mixing, sharding, simhash, tokencounts
+from . import decontam, exactdedup, htmlextract, langid, linededup, lmscore, mixing, sharding, simhash, tokencounts
 
 QUERIES = {
     "op1_simhash": simhash.query,
+    "op2_html_extraction": htmlextract.query,
+    "op3_lm_scoring": lmscore.query,
     "op4_decontamination": decontam.query,
     "op5_line_dedup": linededup.query,
     "op6_exact_dedup": exactdedup.query,
