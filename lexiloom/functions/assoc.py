@@ -52,14 +52,13 @@ def loglik(*args) -> Column:
     f12, f1, f2, n = cells(*args)
 
     def part(o: Column, e: Column) -> Column:
-        return F.when(o == 0, F.lit(0.0)).otherwise(o * ln(div(o, e)))
+        return F.when(o == 0, F.lit(0.0)).when((o < 0) | (e <= 0), F.lit(NAN)).otherwise(o * F.log(F.try_divide(o, e)))
 
     o = [f12, f1 - f12, f2 - f12, n - f1 - f2 + f12]
-    e = [div(a * b, n) for a, b in ((f1, f2), (f1, n - f2), (n - f1, f2), (n - f1, n - f2))]
+    e = [F.try_divide(a * b, n) for a, b in ((f1, f2), (f1, n - f2), (n - f1, f2), (n - f1, n - f2))]
     g = F.lit(2.0) * (part(o[0], e[0]) + part(o[1], e[1]) + part(o[2], e[2]) + part(o[3], e[3]))
-    bad = (f12 < 0) | (f1 <= 0) | (f2 <= 0) | (n <= 0)
-    for v in (f12, f1, f2, n):
-        bad = bad | v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf")))
+    total = f12 + f1 + f2 + n  # null, NaN or infinite if one of them is
+    bad = total.isNull() | F.isnan(total) | (F.abs(total) == F.lit(float("inf"))) | (f12 < 0) | (f1 <= 0) | (f2 <= 0) | (n <= 0)
     return F.when(bad, F.lit(None).cast("double")).when(o[0] < e[0], -g).otherwise(g)
 
 

@@ -57,9 +57,9 @@ class Browser:
         if self.seed is not None:
             keys = [F.xxhash64("file_id", "start", F.lit(self.seed)), *place]
         elif self.order:
-            side, down = self.order
+            side = self.order[0]
             text = F.lower(F.array_join(F.reverse(self._list("left")), " ") if side == "left" else self.text(side))
-            keys = [text.desc() if down else text.asc(), *place]
+            keys = [text, *place]
         else:
             keys = place
         shown = out.select("file_id", "start", self.text("left").alias("left"), self.text("match").alias("match"), self.text("right").alias("right"), *[k.alias(f"_k{i}") for i, k in enumerate(keys[:-2])])

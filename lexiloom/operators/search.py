@@ -259,6 +259,9 @@ class SearchResults:
         def values(i: int, keep) -> Column:
             return F.transform(F.filter("t", keep), lambda x: x[f"v{i}"])
 
+        def within(b: Column):
+            return lambda x: (x["at"] >= b["start"]) & (x["at"] < b["end"])
+
         out: list[Column] = []
         for i, n in enumerate(names):
             if context:
@@ -268,7 +271,7 @@ class SearchResults:
                 out.append(values(i, lambda x: x["at"] >= F.col("end")).alias(f"{n}_right_context"))
             for v in bound:
                 b = F.col(f"b_{v}")
-                out.append(F.when(b.isNotNull(), values(i, lambda x, b=b: (x["at"] >= b["start"]) & (x["at"] < b["end"]))).alias(f"{n}_{v}"))
+                out.append(F.when(b.isNotNull(), values(i, within(b))).alias(f"{n}_{v}"))
         return got.select(*out, *[F.col(f"meta{i}").alias(m) for i, m in enumerate(meta) if m not in ("file_id", "start", "end")], "file_id", "start", "end")
 
     def collocates(self, expr="token", window: int = 5, min_freq: int = 5, freqs_name: str = "freqs") -> DataFrame:

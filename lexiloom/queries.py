@@ -164,7 +164,7 @@ def _(c):
     return tables.frequencies(c.where(text.is_letters("token")), "token")
 
 
-@query("chunk_index", f" SELECT file_id, idx, sum(CASE WHEN sent = 'B' THEN 1 ELSE 0 END) OVER {W} AS chunk_idx FROM tok")
+@query("chunk_index", f" SELECT file_id, idx, (sum(CASE WHEN sent = 'B' THEN 1 ELSE 0 END) OVER {W})::BIGINT AS chunk_idx FROM tok")
 def _(c):
     return text.with_chunk_index(c, "sent").select("file_id", "idx", "chunk_idx")
 
@@ -502,7 +502,7 @@ def _(c):
     return lexical.ttr(c, F.lower("token"), ["lang", "file_id"]).groupBy("lang").agg(r6(F.avg("ttr")).alias("mean_ttr"))
 
 
-@query("vocabulary_growth", f", f AS (SELECT file_id, idx, CASE WHEN row_number() OVER (PARTITION BY file_id, low ORDER BY idx) = 1 THEN 1 ELSE 0 END AS new FROM tok) SELECT file_id, idx, sum(new) OVER {W} AS growth FROM f")
+@query("vocabulary_growth", f", f AS (SELECT file_id, idx, CASE WHEN row_number() OVER (PARTITION BY file_id, low ORDER BY idx) = 1 THEN 1 ELSE 0 END AS new FROM tok) SELECT file_id, idx, (sum(new) OVER {W})::BIGINT AS growth FROM f")
 def _(c):
     return lexical.vocabulary_growth(c.select("file_id", "idx", F.lower("token").alias("low")), "low").select("file_id", "idx", "growth")
 
