@@ -36,7 +36,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # of this vocabulary
 BUDGETS = (512, 2048)
 BLANK = "\t\n\x0b\x0c\r \x85\xa0                　"
-UNITS_KEPT, PAIRS_KEPT = 600_000, 500_000  # memory of a worker's tables, about 200 MB
+UNITS_KEPT, PIECES_KEPT, PAIRS_KEPT = 1_000_000, 600_000, 600_000  # memory of a worker's tables, about 350 MB
 
 
 class Counter:
@@ -48,6 +48,7 @@ class Counter:
         self.units = re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")
         self.blanks = re.compile(f"[{BLANK}]{{2,}}")
         self.kept: dict[str, bytes] = {}
+        self.counted: dict[str, array] = {}
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.halves: dict[bytes, tuple[bytes, bytes]] = {}
 
@@ -95,8 +96,18 @@ class Counter:
             else:
                 limit, b = rb + 1, self.split(b)[0]
 
-    def piece(self, text: str) -> list[int]:
+    def piece(self, text: str) -> array:
         """Count at each character's end, of a single piece."""
+        known = self.counted.get(text)
+        if known is None:
+            known = array("i", self._piece(text))
+            if len(text) <= 64:
+                if len(self.counted) >= PIECES_KEPT:
+                    self.counted.clear()
+                self.counted[text] = known
+        return known
+
+    def _piece(self, text: str) -> list[int]:
         data = text.encode("utf-8", "surrogatepass")
         ranks, fits, known, far = self.ranks, self.fits, self.pairs.get, self.longest
         last, count = [b""], [0]
@@ -112,8 +123,10 @@ class Counter:
         ends = np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in text]).tolist()
         return [count[e] for e in ends]
 
-    def unit(self, text: str) -> list[int]:
+    def unit(self, text: str) -> list[int] | array:
         """Count at each character's end, of a run of blanks and the non-blanks after it."""
+        if text.isalpha() or (text[0] == " " and text[1:].isalpha()):
+            return self.piece(text)
         out: list[int] = []
         for m in self.pieces.finditer(text):
             base, p = (out[-1] if out else 0), m.group()
