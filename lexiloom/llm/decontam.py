@@ -1,10 +1,10 @@
 """Benchmark decontamination: short test items inside long documents, by size-partitioned MinHash containment search.
 
 Jaccard similarity says nothing of a short item in a long document, so documents are partitioned by size: one of up to
-2^c shingles (K consecutive words) has 2^(c-1) hash bins and signs with the least shingle hash of each bin. For each size
+2^c shingles (K consecutive words) has 2^(c+1) hash bins and signs with the least shingle hash of each bin. For each size
 class an item signs with the same bins, and a document is a candidate for every item with which it shares a bin's
-minimum. As bins grow with the size class, a shared shingle is a document's minimum with probability of 0.43 to 1 at any
-length, so an item of 11 shingles held in full is missed with probability under 0.003, one of 30 under 1e-7. Candidates
+minimum. As bins grow with the size class, a shared shingle is a document's minimum with probability of 0.79 or more at
+any length, so an item of 11 shingles held in full is missed with probability under 1e-7. Candidates
 are verified by exact containment: the share of the item's distinct shingles that the document has.
 
 Documents are read once and never shuffled while the items' keys fit KEYS_BROADCAST; beyond that, the keys of both sides
@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import arrow_batches, index_of, pick, positional, table, where_rows
 from .textvec import chunks, mix, shingles, words
@@ -44,7 +45,7 @@ def signatures(s: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     doc, h = (own >> np.uint64(44)).astype(np.int64), own & np.uint64((1 << 44) - 1)
     size = np.bincount(doc, minlength=n)
     cls = np.maximum(CLASSES[0], np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))[doc]
-    place = h >> (np.uint64(44 + 1) - cls.astype(np.uint64))  # the first c-1 bits are the bin
+    place = h >> (np.uint64(44 - 1) - cls.astype(np.uint64))  # the first c+1 bits are the bin
     least = np.concatenate(([True], (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])))
     return class_keys(h[least], cls[least]), doc[least], cls[least]
 
@@ -58,7 +59,7 @@ def item_keys(own: np.ndarray) -> np.ndarray:
     h = np.unique(own >> np.uint64(20))
     out = []
     for c in CLASSES:
-        place = h >> np.uint64(45 - c)
+        place = h >> np.uint64(43 - c)
         least = np.concatenate(([True], place[1:] != place[:-1]))
         out.append(class_keys(h[least], np.full(least.sum(), c)))
     return np.concatenate(out)
@@ -136,9 +137,11 @@ def leaks(docs: DataFrame, items: DataFrame, k: int = K, containment: float = CO
         return _joined(own, q, k, containment)
     out = T.StructType([T.StructField("doc_id", doc_type), T.StructField("item_id", item_type), T.StructField("containment", T.DoubleType())])
 
+    id_type = to_arrow_type(item_type)
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = index.value
-        ids = pa.array(known.ids)
+        ids = pa.array(known.ids, id_type)
         for b in batches:
             hits = list(known.search(b.column(1).to_pylist(), k, containment))
             d, i, c = zip(*hits) if hits else ((), (), ())
