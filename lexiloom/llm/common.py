@@ -87,7 +87,8 @@ def md5_int(text: Column, start: int, digits: int) -> Column:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of undirected edges (a, b): rows (node, root), root the least node of its component.
+    """Connected components of undirected edges (a, b): rows (node, root), root the least node of its component; roots
+    themselves have no row.
 
     Alternating large-star and small-star steps: every round halves path lengths, costs two shuffles of the
     edges and is cut by a checkpoint. Nothing is collected but a checksum. Self-loops and null ends are ignored.

@@ -43,6 +43,7 @@ CLASS = re.compile(r"\bclass\s*=\s*[\"']?\s*([^\"'\s>]+)", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("b i u s em strong small big sup sub span font mark abbr code tt cite q var kbd samp del ins".split())
 CLOSED_BY_OWN = frozenset("p li dt dd tr td th option".split())
+BLOCKS = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 HOLDS = frozenset("ul ol dl table select div article section body".split())
 TEXT = "#"
 # a node is (optional, repeated, symbol, children); a page's node has the text itself in place of children under "#"
@@ -76,9 +77,10 @@ def parse(source: str) -> list:
             if at:
                 del stack[at:]
             continue
-        if name in CLOSED_BY_OWN:
+        if name in CLOSED_BY_OWN or name in BLOCKS:  # a block ends an open paragraph
+            ends = "p" if name in BLOCKS else name
             for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
+                if stack[i][0] == ends:
                     del stack[i:]
                     break
                 if stack[i][0] in HOLDS:
