@@ -31,14 +31,14 @@ SEND = 8_000_000  # dropped lines' hashes that may be sent to every executor: 64
 ANY = "<*>"
 
 
-def _lines(text: Column) -> Column:
-    """Masked lines: tokens with a digit are <*>, blanks are single spaces."""
-    masked = F.regexp_replace(text, r"(?<!\S)[^\s0-9]*+[0-9]\S*", ANY)
-    return F.split(F.trim(F.regexp_replace(F.regexp_replace(masked, r"[\x0B\f\r\t ]+", " "), r" ?\n ?", "\n")), "\n", -1)
+def _trimmed(text: Column) -> Column:
+    """Masked lines: tokens with a digit are <*>, runs of blanks single spaces. Lines without digits skip the mask."""
 
+    def masked(line: Column) -> Column:
+        digits = F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"(?<!\S)[^\s0-9]*+[0-9]\S*", ANY)).otherwise(line)
+        return F.trim(F.regexp_replace(digits, r"[\x0B\f\r\t][\x0B\f\r\t ]*| [\x0B\f\r\t ]+", " "))
 
-def _trimmed(text: Column) -> Column:
-    return F.transform(_lines(text), lambda x: F.trim(x))
+    return F.transform(F.split(text, "\n", -1), masked)
 
 
 def _count(line: Column) -> Column:
@@ -113,24 +113,23 @@ def recurring(docs: DataFrame, lead: int = LEAD, similar: float = SIMILAR, min_d
 
 def _cleaned(docs: DataFrame, text: str, lead: int, similar: float, min_docs: int, send: int) -> DataFrame:
     """docs with columns n_lines, n_dropped and text in place of ``text``."""
-    dropped = recurring(docs, lead, similar, min_docs).select("h").distinct()
-    own = docs.withColumn("_h", F.transform(_trimmed(F.col(text)), lambda x: F.when(x != "", F.xxhash64(x))))
+    dropped = recurring(docs, lead, similar, min_docs).where("h != 0").select("h").distinct()  # 0 stands for blank lines
+    own = docs.withColumn("_h", F.transform(_trimmed(F.col(text)), lambda x: F.when(x != "", F.xxhash64(x)).otherwise(F.lit(0).cast("bigint"))))
     if dropped.count() <= send:
         known = np.sort(np.array([r[0] for r in dropped.toLocalIterator()], np.int64))
         sent = docs.sparkSession.sparkContext.broadcast(known)
 
         @F.pandas_udf("array<boolean>")
         def gone(hashes: pd.Series) -> pd.Series:
-            lists = [np.array([0 if y is None else y for y in x], np.int64) if x is not None else None for x in hashes]
-            blank = [np.array([y is None for y in x], bool) if x is not None else None for x in hashes]
-            out = []
-            for x, z in zip(lists, blank):
-                if x is None or not len(sent.value):
-                    out.append(None if x is None else np.zeros(len(x), bool))
-                    continue
-                at = np.minimum(np.searchsorted(sent.value, x), len(sent.value) - 1)
-                out.append((sent.value[at] == x) & ~z)
-            return pd.Series(out)
+            size = [0 if x is None else len(x) for x in hashes]
+            if not sum(size):
+                return pd.Series([None if x is None else np.zeros(0, bool) for x in hashes], dtype=object)
+            flat = np.concatenate([x for x in hashes if x is not None]).astype(np.int64)
+            there = np.zeros(len(flat), bool)
+            if len(sent.value):
+                there = sent.value[np.minimum(np.searchsorted(sent.value, flat), len(sent.value) - 1)] == flat
+            parts = iter(np.split(there, np.cumsum([n for n, x in zip(size, hashes) if x is not None])[:-1]))
+            return pd.Series([None if x is None else next(parts) for x in hashes], dtype=object)
 
         own = own.withColumn("_gone", gone("_h"))
     else:
