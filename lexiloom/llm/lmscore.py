@@ -30,6 +30,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import arrow_batches, pick, table
 from .textvec import chunks
@@ -38,7 +39,7 @@ from .tokencounts import BLANK, PATTERN, VOCABULARY
 WINDOW, STRIDE, DIM, SLOTS, CLASSES, SINGLE = 32, 24, 16, 4096, 64, 40
 SPACING, ROUNDS, BATCH, RATE = 2000, 2, 128, 0.01
 SMALL = 256  # windows worked on at once in scoring
-CHARS = 150_000
+BYTES = 120_000  # of ids
 VOCAB, BOS = 50_257, 50_256
 SHAPES = {"E": (SLOTS, DIM), "P": (WINDOW, DIM), "Q": (DIM, DIM), "K": (DIM, DIM), "V": (DIM, DIM), "O": (DIM, DIM), "U": (DIM, CLASSES), "b": (CLASSES,)}
 UNITS_KEPT = 400_000
@@ -235,14 +236,22 @@ def score(p: dict, cls: np.ndarray, share: np.ndarray, docs: list[np.ndarray]) -
 
 
 def _gather(own: DataFrame, vocabulary: str) -> DataFrame:
-    """Rows (id, n): counts of ids by task; and rows (w): training windows."""
+    """Of (doc_id, text): rows (id, n), counts of ids by task; rows (w), training windows; rows (doc_id, ids), encoded
+    documents. A table: texts are encoded once."""
+    kind = own.schema["doc_id"].dataType
+    arrow = to_arrow_type(kind)
+    shape = pa.schema([("id", pa.int32()), ("n", pa.int64()), ("w", pa.binary()), ("doc_id", arrow), ("ids", pa.binary())])
+
+    def rows(size: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(size, f.type) for f in shape], schema=shape)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, counts = encoder(vocabulary), np.zeros(VOCAB, np.int64)
         for b in batches:
-            found = []
-            for t in b.column(0).to_pylist():
-                ids = np.frombuffer(enc.ids(t), np.uint16)
+            found, whole = [], []
+            for t in b.column(1).to_pylist():
+                whole.append(enc.ids(t or ""))
+                ids = np.frombuffer(whole[-1], np.uint16)
                 if not len(ids):
                     continue
                 counts += np.bincount(ids, minlength=VOCAB)
@@ -252,18 +261,23 @@ def _gather(own: DataFrame, vocabulary: str) -> DataFrame:
                     at = k * max(0, len(ids) - WINDOW) // max(1, n - 1) if n > 1 else 0
                     found.append(padded[at : at + WINDOW + 1].tobytes())
             if found:
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(found), pa.int32()), pa.nulls(len(found), pa.int64()), pa.array(found, pa.binary())], ["id", "n", "w"])
+                yield rows(len(found), w=pa.array(found, pa.binary()))
+            yield rows(len(whole), doc_id=b.column(0), ids=pa.array(whole, pa.binary()))
         at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at], pa.int64()), pa.nulls(len(at), pa.binary())], ["id", "n", "w"])
+        yield rows(len(at), id=pa.array(at, pa.int32()), n=pa.array(counts[at], pa.int64()))
 
-    return own.where("text is not null").select("text").mapInArrow(run, "id int, n bigint, w binary")
+    out = [("id", T.IntegerType()), ("n", T.LongType()), ("w", T.BinaryType()), ("doc_id", kind), ("ids", T.BinaryType())]
+    return table(own.select("doc_id", "text").mapInArrow(run, T.StructType([T.StructField(n, k) for n, k in out])))
 
 
 def fit(docs: DataFrame, rounds: int = ROUNDS, vocabulary: str = VOCABULARY) -> tuple[dict, np.ndarray, np.ndarray]:
     """Parameters, and class and log share of each id."""
-    spark = docs.sparkSession
-    arrow_batches(spark)
-    gathered = table(_gather(pick(docs, "text"), vocabulary))
+    arrow_batches(docs.sparkSession)
+    return _fit(_gather(pick(docs, "doc_id", "text"), vocabulary), rounds)
+
+
+def _fit(gathered: DataFrame, rounds: int) -> tuple[dict, np.ndarray, np.ndarray]:
+    spark = gathered.sparkSession
     counts = np.zeros(VOCAB, np.int64)
     for i, n in gathered.where("id is not null").groupBy("id").agg(F.sum("n").alias("n")).collect():  # as many as the vocabulary has
         counts[i] = n
@@ -301,16 +315,17 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, vocabulary: str = VOCABULARY) ->
 def scores(docs: DataFrame, model: tuple | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, n_tokens, nll, mean_nll, perplexity; the model is fit() of the documents themselves unless given."""
     arrow_batches(docs.sparkSession)
-    own = pick(docs, "doc_id", "text")
-    sent = docs.sparkSession.sparkContext.broadcast(model or fit(docs, vocabulary=vocabulary))
+    gathered = _gather(pick(docs, "doc_id", "text"), vocabulary)
+    own = gathered.where("ids is not null").select("doc_id", "ids")
+    sent = docs.sparkSession.sparkContext.broadcast(model or _fit(gathered, ROUNDS))
     fields = [T.StructField("doc_id", own.schema["doc_id"].dataType), T.StructField("n_tokens", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("nll", "mean_nll", "perplexity"))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, (p, cls, share) = encoder(vocabulary), sent.value
+        p, cls, share = sent.value
         for b in batches:
             n, nll = [], []
-            for _, held in chunks(b.column(1).to_pylist(), CHARS):
-                ids = [np.frombuffer(enc.ids(t), np.uint16) for t in held]
+            for _, held in chunks(b.column(1).to_pylist(), BYTES):
+                ids = [np.frombuffer(x, np.uint16) if x else np.empty(0, np.uint16) for x in held]
                 n += map(len, ids)
                 nll += score(p, cls, share, ids).tolist()
             mean = [x / k if k else None for x, k in zip(nll, n)]
