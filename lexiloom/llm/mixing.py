@@ -3,9 +3,10 @@
 Documents of a source, in the order of md5(doc_id), form blocks. With a source's weight w, its k-th block may not come
 before slot floor((k-1)/w) and must be out by slot ceil(k/w). Earliest deadline first over the released blocks meets
 every deadline (weights sum to 1, one block a slot), so at any slot each source is less than one block from its weight.
-Weights are multiples of 1/frame, so the schedule repeats after ``frame`` slots: one frame is computed, whatever the
-size of the corpus, and block k of a source gets its slot by arithmetic. The mix ends at the first slot whose source
-has run out, as from there on the weights can't be met; documents after it have no slot.
+Weights are exact fractions, so a rare source never gets more than its weight and doesn't run out before the others. One
+task walks the slots in order and writes (source, block, slot); it holds a block a source, and its work is a heap step a
+block. The mix ends at the first slot whose source has run out, as from there on the weights can't be met; documents
+after it have no slot. With ``frame`` given, weights are rounded to multiples of 1/frame, at least one each.
 
 Weights default to the sources' own sizes, but that no source weighs over ``max_share`` (with fewer sources than that
 allows, the sizes as they are): a hot source is thinned, others stay whole but for rounding.
@@ -20,14 +21,19 @@ Other columns are left out of schedule() and kept by mixed().
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
+from collections.abc import Iterator
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import index_of, pick, positional
+from .common import arrow_batches, index_of, pick, positional, table
 
-BLOCK, FRAME, MAX_SHARE = 16, 10_000, 0.2
+BLOCK, MAX_SHARE = 16, 0.2
+ROWS = 50_000  # slots in a batch
 BUCKET_DIGITS = 3  # 4096 hash buckets a source
 
 
@@ -54,7 +60,16 @@ def _order(s) -> tuple:
     return (s is not None, str(s))
 
 
-def quotas(weights: dict, frame: int = FRAME) -> dict:
+def exact(weights: dict) -> tuple[dict, int]:
+    """(quota, frame): whole numbers in the very ratio of the weights, and their sum."""
+    parts = {s: w if isinstance(w, Fraction) else Fraction(str(w)) for s, w in weights.items() if w > 0}
+    d = math.lcm(*(w.denominator for w in parts.values()))
+    quota = {s: int(w * d) for s, w in parts.items()}
+    common = math.gcd(*quota.values()) or 1
+    return {s: q // common for s, q in quota.items()}, sum(quota.values()) // common
+
+
+def quotas(weights: dict, frame: int) -> dict:
     """Slots of each source in a frame: largest remainders, at least one each."""
     weights = {s: w for s, w in weights.items() if w > 0}
     if len(weights) > frame:
@@ -71,37 +86,41 @@ def quotas(weights: dict, frame: int = FRAME) -> dict:
     return out
 
 
-def frame_schedule(quota: dict, frame: int) -> list:
-    """The source of each slot of a frame: earliest deadline first among released blocks; ties by the source's order."""
+def slots(quota: dict, frame: int) -> Iterator[tuple]:
+    """(source, number of its block from 0) of each slot, without end: earliest deadline first among released blocks;
+    ties by the source's order."""
     names = sorted(quota, key=_order)
     waiting = [(0, i, 1) for i in range(len(names))]
     heapq.heapify(waiting)
-    ready, out = [], []
-    for t in range(frame):
+    ready = []
+    for t in itertools.count() if names else ():
         while waiting and waiting[0][0] <= t:
             _, i, k = heapq.heappop(waiting)
             heapq.heappush(ready, (-(-k * frame // quota[names[i]]), i, k))
         deadline, i, k = heapq.heappop(ready)
         assert deadline > t
-        out.append(names[i])
-        if k < quota[names[i]]:
-            heapq.heappush(waiting, (k * frame // quota[names[i]], i, k + 1))
-    return out
+        yield names[i], k - 1
+        heapq.heappush(waiting, (k * frame // quota[names[i]], i, k + 1))
+
+
+def frame_schedule(quota: dict, frame: int) -> list:
+    """The source of each slot of a frame."""
+    return [s for s, _ in itertools.islice(slots(quota, frame), frame)]
 
 
-def _plan(sizes: dict, weights: dict | None, block: int, frame: int, max_share: float):
-    """(source, block's place in its frame, slot) of a frame, blocks a frame by source, and the slot where the mix ends."""
-    weights = target_weights(sizes, max_share) if weights is None else weights
-    frame = max(frame, 10 * len(weights))
-    quota = quotas(weights, frame)
-    slots: dict = {s: [] for s in quota}
-    for t, s in enumerate(frame_schedule(quota, frame) if quota else []):
-        slots[s].append(t)
-    ends = []
-    for s in quota:
-        blocks = -(-sizes.get(s, 0) // block)  # the first block that there isn't
-        ends.append(blocks // quota[s] * frame + slots[s][blocks % quota[s]])
-    return slots, quota, min(ends, default=0), frame
+def _plan(spark, sizes: dict, weights: dict | None, block: int, frame: int | None, max_share: float) -> DataFrame:
+    """(s, b, slot) of every block in the mix. A table."""
+    blocks = {s: -(-n // block) for s, n in sizes.items()}
+    weights = target_weights(blocks, max_share) if weights is None else weights
+    quota, frame = exact(weights) if frame is None else (quotas(weights, frame), frame)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mix = enumerate(itertools.takewhile(lambda x: x[1] < blocks.get(x[0], 0), slots(quota, frame)))
+        for _ in batches:
+            while part := list(itertools.islice(mix, ROWS)):
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for _, x in part], pa.string()), pa.array([x[1] for _, x in part], pa.int64()), pa.array([t for t, _ in part], pa.int64())], ["s", "b", "slot"])
+
+    return table(spark.range(0, 1, 1, 1).mapInArrow(walk, "s string, b bigint, slot bigint"))
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
@@ -123,38 +142,26 @@ def _ranked(d: DataFrame) -> DataFrame:
     return inside.join(b, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).select("doc_id", "source", "h", (F.col("before") + F.col("i") - 1).alias("rank"))
 
 
-def _lookup(spark, slots: dict):
-    """(source, place, slot): at most ``frame`` rows."""
-    return spark.createDataFrame([(s, k, t) for s, ts in slots.items() for k, t in enumerate(ts)], "s string, place bigint, at bigint")
-
-
-def schedule(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, frame: int = FRAME, max_share: float = MAX_SHARE) -> DataFrame:
+def schedule(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, frame: int | None = None, max_share: float = MAX_SHARE) -> DataFrame:
     """doc_id, source, block (from 0 in the source), slot and position (from 0 in the mix; null for what isn't in it)."""
+    arrow_batches(docs.sparkSession)
     d = _narrow(docs)
-    slots, quota, end, frame = _plan(_sizes(d), weights, block, frame, max_share)
-    q = docs.sparkSession.createDataFrame(list(quota.items()), "qs string, quota bigint")
+    plan = _plan(docs.sparkSession, _sizes(d), weights, block, frame, max_share)
     r = _ranked(d).withColumn("block", F.floor(F.col("rank") / block))
-    r = r.join(F.broadcast(q), F.col("source").eqNullSafe(F.col("qs")), "left")  # a row a source
-    r = r.withColumn("p", F.pmod("block", "quota")).withColumn("turn", F.floor(F.col("block") / F.col("quota")))
-    r = r.join(F.broadcast(_lookup(docs.sparkSession, slots)), F.col("source").eqNullSafe(F.col("s")) & (F.col("p") == F.col("place")), "left")  # bounded by the frame
-    slot = F.col("turn") * frame + F.col("at")
-    r = r.withColumn("slot", F.when(slot < end, slot))
-    return r.select("doc_id", "source", F.col("block").cast("bigint").alias("block"), F.col("slot").cast("bigint").alias("slot"), (F.col("slot") * block + F.col("rank") % block).cast("bigint").alias("position"))
+    r = r.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left")
+    return r.select("doc_id", "source", F.col("block").cast("bigint").alias("block"), "slot", (F.col("slot") * block + F.col("rank") % block).cast("bigint").alias("position"))
 
 
-def mixed(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, frame: int = FRAME, max_share: float = MAX_SHARE) -> DataFrame:
+def mixed(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, frame: int | None = None, max_share: float = MAX_SHARE) -> DataFrame:
     """The rows of ``docs`` that are in the mix. As blocks follow the hash order, a source's share is all up to one
     hash value; that value, one row a source, is all that the texts are joined with. Rows that repeat the last
     document of a source go with it."""
+    spark = docs.sparkSession
+    arrow_batches(spark)
     d = _narrow(docs)
     sizes = _sizes(d)
-    slots, quota, end, frame = _plan(sizes, weights, block, frame, max_share)
-    take = {}
-    for s, ts in slots.items():
-        blocks = end // frame * quota[s] + sum(t < end % frame for t in ts)
-        take[s] = min(sizes.get(s, 0), blocks * block)
-    spark = docs.sparkSession
-    q = spark.createDataFrame([(s, n) for s, n in take.items() if n], "qs string, take bigint")
+    blocks = _plan(spark, sizes, weights, block, frame, max_share).groupBy("s").count().collect()  # a row a source
+    q = spark.createDataFrame([(s, min(sizes[s], n * block)) for s, n in blocks], "qs string, take bigint")
     last = _ranked(d).join(F.broadcast(q), F.col("source").eqNullSafe(F.col("qs")) & (F.col("rank") == F.col("take") - 1)).select(F.col("qs"), F.col("h").alias("last"))
     p = positional(docs)
     src, key = F.col(f"_{index_of(docs, 'source')}").cast("string"), F.md5(F.coalesce(F.col(f"_{index_of(docs, 'doc_id')}").cast("string"), F.lit("")))

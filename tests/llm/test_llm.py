@@ -440,6 +440,29 @@ def test_mixing(spark):
     assert kept == {r.doc_id for r in rows}
 
 
+def blocks_kept(sizes):
+    """Blocks of each source before the first slot whose source has run out."""
+    quota, frame = mixing.exact(mixing.target_weights(sizes))
+    seen = Counter()
+    for t, (s, k) in enumerate(mixing.slots(quota, frame), 1):
+        if k >= sizes[s]:
+            return seen
+        seen[s] += 1
+        assert t % 97 or all(abs(seen[x] - t * quota[x] / frame) < 1 for x in quota)
+
+
+def test_a_rare_source_does_not_end_the_mix():
+    sizes = {f"s{i}": 8000 + i for i in range(9)} | {"rare": 1, None: 3}
+    assert blocks_kept(sizes) == sizes
+
+
+def test_rare_source_in_the_tables(spark):
+    sources = [f"s{i % 5}" for i in range(2000)] + [None] * 3
+    df = docs(spark, [EN] * 2003, sources)
+    rows = mixing.schedule(df, block=1).collect()
+    assert sorted(r.slot for r in rows) == list(range(2003)) and mixing.mixed(df, block=1).count() == 2003
+
+
 # pipeline ---------------------------------------------------------------------------------------------------------------
 
 
