@@ -8,8 +8,9 @@ task walks the slots in order and writes (source, block, slot); it holds a block
 block. The mix ends at the first slot whose source has run out, as from there on the weights can't be met; documents
 after it have no slot. With ``frame`` given, weights are rounded to multiples of 1/frame, at least one each.
 
-Weights default to the sources' own sizes, but that no source weighs over ``max_share`` (with fewer sources than that
-allows, the sizes as they are): a hot source is thinned, others stay whole but for rounding.
+Weights default to the sources' own sizes in blocks, but that no source counts for more than ``max_share`` of all blocks,
+or than the sum of squared shares where that is more (few sources make up the table): a hot source is thinned, others
+stay whole. The limit is continuous in the sizes: a source of a few rows more or less moves it by next to nothing.
 
 The rank of a document in its source comes from counts by (source, hash bucket) and a rank inside the bucket, so a hot
 source is spread over all tasks. Null source: a source of its own. Null doc_id: ordered as "". Repeated rows: each is
@@ -38,22 +39,14 @@ BUCKET_DIGITS = 3  # 4096 hash buckets a source
 
 
 def target_weights(sizes: dict, max_share: float = MAX_SHARE) -> dict:
-    """Shares in proportion to size, none over max_share."""
-    total = float(sum(sizes.values()))
+    """Exact shares in proportion to size; a size counts up to max_share of the total, or the sum of squares by the total."""
+    total = sum(sizes.values())
     if not total:
         return {}
-    if len(sizes) * max_share < 1:
-        return {s: n / total for s, n in sizes.items()}
-    left, room, out = dict(sizes), 1.0, {}
-    while over := [s for s, n in left.items() if n / sum(left.values()) * room > max_share + 1e-12]:
-        for s in over:
-            out[s] = max_share
-        room = 1 - max_share * len(out)
-        left = {s: n for s, n in left.items() if s not in out}
-        if not left:
-            break
-    rest = float(sum(left.values()))
-    return out | {s: n / rest * room for s, n in left.items()}
+    most = max(Fraction(str(max_share)) * total, Fraction(sum(n * n for n in sizes.values()), total))
+    counted = {s: min(Fraction(n), most) for s, n in sizes.items()}
+    rest = sum(counted.values())
+    return {s: n / rest for s, n in counted.items()}
 
 
 def _order(s) -> tuple:

@@ -456,6 +456,14 @@ def test_a_rare_source_does_not_end_the_mix():
     assert blocks_kept(sizes) == sizes
 
 
+@pytest.mark.parametrize("rare", [[], [1], [1, 1], [100, 1, 1]])
+def test_default_weights_have_no_cliff(rare):
+    sizes = dict(enumerate([10_000, 5000, 2000, 1000, *rare]))
+    got = blocks_kept(sizes)
+    assert all(got[s] == n for s, n in sizes.items() if s) and 6900 < got[0] < 7300
+    assert blocks_kept({"only": 5000, None: 1}).total() > 4990
+
+
 def test_rare_source_in_the_tables(spark):
     sources = [f"s{i % 5}" for i in range(2000)] + [None] * 3
     df = docs(spark, [EN] * 2003, sources)
