@@ -4,10 +4,11 @@ Every document is encoded. Counts of all ids over all documents give CLASSES cla
 the others share classes of about equal weight. The model predicts the next id's class by one layer of causal
 self-attention over embeddings of the ids before it; an id's probability is its class's times its share of the class.
 
-Training is data-parallel: each document gives windows for training, one in every SPACING characters, so what is
-gathered grows with the input; a task runs Adam over its windows from common parameters, and the tasks' parameters are
-averaged, weighted by windows, in ROUNDS rounds. Parameters (their size doesn't depend on the corpus) are summed by Spark
-with partial sums, and only their average reaches the driver. They depend on how rows are split over tasks, slightly.
+Training is data-parallel and sees every id of every document once as a target: windows of WINDOW targets tile the
+documents, and are dealt in turn to ROUNDS rounds. In a round a task runs Adam over its windows from common parameters,
+and the tasks' parameters are averaged, weighted by windows. Parameters (their size doesn't depend on the corpus) are
+summed by Spark with partial sums, and only their average reaches the driver. They depend on how rows are split over
+tasks, slightly.
 
 Scoring runs windows of WINDOW ids that begin every STRIDE ids; a token is scored once, in the first window that holds
 it, with what the window has before it. All windows of a batch go through masked attention at once.
@@ -37,7 +38,7 @@ from .textvec import chunks
 from .tokencounts import BLANK, PATTERN, VOCABULARY
 
 WINDOW, STRIDE, DIM, SLOTS, CLASSES, SINGLE = 32, 24, 16, 4096, 64, 40
-SPACING, ROUNDS, BATCH, RATE = 2000, 2, 128, 0.01
+ROUNDS, BATCH, RATE = 2, 128, 0.01
 SMALL = 256  # windows worked on at once in scoring
 BYTES = 120_000  # of ids
 VOCAB, BOS = 50_257, 50_256
@@ -133,6 +134,12 @@ def forward(p: dict, x: np.ndarray):
 KEEP = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
 
+@functools.lru_cache(16)
+def _scratch(name: str, shape: tuple, kind: np.dtype) -> np.ndarray:
+    """An array to write over: large new ones cost more than what is done in them."""
+    return np.empty(shape, kind)
+
+
 def _exp(a: np.ndarray) -> np.ndarray:
     """exp in place, moved by each row's maximum only where it could overflow."""
     if a.max(initial=0) > 60 or a.min(initial=0) < -60:
@@ -147,14 +154,14 @@ def target_logp(p: dict, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     w = w.reshape(len(x), WINDOW, 3 * DIM)
     v = np.ones((len(x), WINDOW, DIM + 1), np.float32)
     v[:, :, :DIM] = w[:, :, 2 * DIM :]
-    a = w[:, :, :DIM] @ w[:, :, DIM : 2 * DIM].transpose(0, 2, 1)
+    a = np.matmul(w[:, :, :DIM], w[:, :, DIM : 2 * DIM].transpose(0, 2, 1), out=_scratch("a", (len(x), WINDOW, WINDOW), w.dtype))
     if a.max(initial=0) > 60 or a.min(initial=0) < -60:
         a += MASK
     a = _exp(a)
     a *= KEEP
     z = (a @ v).reshape(-1, DIM + 1)
     r = e.reshape(-1, DIM) + (z[:, :DIM] / z[:, DIM:]) @ p["O"]
-    logit = r @ p["U"]
+    logit = np.matmul(r, p["U"], out=_scratch("logit", (len(r), CLASSES), r.dtype))
     logit += p["b"]
     if logit.max(initial=0) > 60:
         logit -= logit.max(-1, keepdims=True)
@@ -164,49 +171,94 @@ def target_logp(p: dict, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def backward(p: dict, x: np.ndarray, y: np.ndarray, m: np.ndarray) -> tuple[float, dict]:
     """Mean loss over the places where m is true, and gradients."""
-    logit, (e, q, k, v, a, z, r) = forward(p, x)
-    n, t = max(1, m.sum()), m.ravel()
-    place = np.arange(len(logit))
-    loss = -float(logit[place, y.ravel()][t].sum()) / n
-    g = np.exp(logit)
-    g[place, y.ravel()] -= 1
-    g *= (t / n).astype(np.float32)[:, None]
-    d = {"U": r.reshape(-1, DIM).T @ g, "b": g.sum(0)}
-    dr = (g @ p["U"].T).reshape(r.shape)
-    flat2 = lambda w: w.reshape(-1, DIM)
-    d["O"] = flat2(z).T @ flat2(dr)
-    dz = dr @ p["O"].T
-    da = dz @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ dz
-    ds = a * (da - (da * a).sum(-1, keepdims=True))
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
     scale = np.float32(DIM**-0.5)
-    d["Q"], d["K"], d["V"] = flat2(e).T @ flat2(dq) * scale, flat2(e).T @ flat2(dk), flat2(e).T @ flat2(dv)
-    de = dr + dq @ p["Q"].T * scale + dk @ p["K"].T + dv @ p["V"].T
-    d["P"] = de.sum(0)
-    order = np.argsort(x.ravel(), kind="stable")
-    rows = x.ravel()[order]
+    e = p["E"][x] + p["P"]
+    e2, n, t = e.reshape(-1, DIM), max(1, m.sum()), m.ravel()
+    mixer = np.concatenate((p["Q"] * scale, p["K"], p["V"]), 1)
+    w = (e2 @ mixer).reshape(len(x), WINDOW, 3 * DIM)
+    q, k, v = w[:, :, :DIM], w[:, :, DIM : 2 * DIM], w[:, :, 2 * DIM :]
+    a = np.matmul(q, k.transpose(0, 2, 1), out=_scratch("a", (len(x), WINDOW, WINDOW), w.dtype))
+    if a.max(initial=0) > 60 or a.min(initial=0) < -60:
+        a += MASK
+    a = _exp(a)
+    a *= KEEP
+    a *= 1 / (a @ np.ones((WINDOW, 1), a.dtype))
+    z = (a @ v).reshape(-1, DIM)
+    r = e2 + z @ p["O"]
+    g = np.matmul(r, p["U"], out=_scratch("logit", (len(r), CLASSES), r.dtype))
+    g += p["b"]
+    if g.max(initial=0) > 60 or g.min(initial=0) < -60:
+        g -= g.max(-1, keepdims=True)
+    place, target = np.arange(len(g)), y.ravel()
+    own = g[place, target]
+    np.exp(g, out=g)
+    total = g @ np.ones(CLASSES, g.dtype)
+    loss = -float((own - np.log(total))[t].sum()) / n
+    part = (t / n).astype(g.dtype)
+    g *= (part / total)[:, None]
+    g[place, target] -= part
+    d = {"U": r.T @ g, "b": np.ones(len(g), g.dtype) @ g}
+    dr = g @ p["U"].T
+    d["O"] = z.T @ dr
+    dz = dr @ p["O"].T
+    ds = np.matmul(dz.reshape(e.shape), v.transpose(0, 2, 1), out=_scratch("ds", a.shape, w.dtype))
+    ds -= np.einsum("ij,ij->i", dz, z).reshape(len(x), WINDOW, 1)
+    ds *= a
+    dw = np.empty_like(w)
+    np.matmul(ds, k, out=dw[:, :, :DIM])
+    np.matmul(ds.transpose(0, 2, 1), q, out=dw[:, :, DIM : 2 * DIM])
+    np.matmul(a.transpose(0, 2, 1), dz.reshape(e.shape), out=dw[:, :, 2 * DIM :])
+    dw = dw.reshape(-1, 3 * DIM)
+    d["Q"], d["K"], d["V"] = np.split(e2.T @ dw, 3, 1)
+    d["Q"] = d["Q"] * scale
+    de = dw @ mixer.T
+    de += dr
+    d["P"] = de.reshape(e.shape).sum(0)
+    rows = x.ravel().astype(np.int16)  # SLOTS is under 2^15
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
     first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
     d["E"] = np.zeros_like(p["E"])
-    d["E"][rows[first]] = np.add.reduceat(flat2(de)[order], first, axis=0)
+    d["E"][rows[first]] = np.add.reduceat(de[order], first, axis=0)
     return loss, d
 
 
 def train(p: dict, windows: Iterator[np.ndarray], cls: np.ndarray, rate: float = RATE) -> tuple[dict, int]:
     """Adam over windows of WINDOW + 1 ids, in batches as they come; how many windows there were."""
-    p = {k: v.copy() for k, v in p.items()}
-    first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+    x = flat(p)
+    p, at = {}, 0
+    for k, s in SHAPES.items():  # views of x
+        p[k] = x[at : at + int(np.prod(s))].reshape(s)
+        at += p[k].size
+    first, second, d, step_by = (np.zeros_like(x) for _ in range(4))
     seen, step = 0, 0
     for w in windows:
         seen, step = seen + len(w), step + 1
         target = w[:, 1:].astype(np.int64)
-        real = target != BOS
-        _, d = backward(p, slot(w[:, :-1]), cls[target], real)
-        for k in p:
-            first[k] += (d[k] - first[k]) * np.float32(0.1)
-            second[k] += (d[k] ** 2 - second[k]) * np.float32(0.01)
-            p[k] -= np.float32(rate / (1 + step / 2000)) * (first[k] / np.float32(1 - 0.9**step)) / (np.sqrt(second[k] / np.float32(1 - 0.99**step)) + np.float32(1e-8))
-    return p, seen
+        _, found = backward(p, slot(w[:, :-1]), cls[target], target != BOS)
+        np.concatenate([found[k].ravel() for k in SHAPES], out=d, casting="same_kind")
+        first *= np.float32(0.9)
+        first += np.multiply(d, np.float32(0.1), out=step_by)
+        d *= d
+        second *= np.float32(0.99)
+        second += np.multiply(d, np.float32(0.01), out=d)
+        np.sqrt(np.multiply(second, np.float32(1 / (1 - 0.99**step)), out=d), out=d)
+        d += np.float32(1e-8)
+        np.divide(first, d, out=step_by)
+        step_by *= np.float32(rate / (1 + step / 2000) / (1 - 0.9**step))
+        x -= step_by
+    return unflat(x), seen
+
+
+def tiles(docs: list[np.ndarray]) -> np.ndarray:
+    """Windows of WINDOW + 1 ids, each the id before and WINDOW targets, that tile every document: each id is a target once."""
+    size = np.array([len(d) for d in docs], np.int64)
+    ids = np.concatenate([*docs, [BOS]]).astype(np.uint16)
+    n = -(-size // WINDOW)
+    doc = np.repeat(np.arange(len(docs)), n)
+    place = ((np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * WINDOW)[:, None] + np.arange(-1, WINDOW)
+    there = (place >= 0) & (place < size[doc][:, None])
+    return ids[np.where(there, (np.cumsum(size) - size)[doc][:, None] + place, len(ids) - 1)]
 
 
 def score(p: dict, cls: np.ndarray, share: np.ndarray, docs: list[np.ndarray]) -> np.ndarray:
@@ -236,11 +288,11 @@ def score(p: dict, cls: np.ndarray, share: np.ndarray, docs: list[np.ndarray]) -
 
 
 def _gather(own: DataFrame, vocabulary: str) -> DataFrame:
-    """Of (doc_id, text): rows (id, n), counts of ids by task; rows (w), training windows; rows (doc_id, ids), encoded
-    documents. A table: texts are encoded once."""
+    """Of (doc_id, text): rows (id, n), counts of ids by task; rows (doc_id, ids), encoded documents.
+    A table: texts are encoded once."""
     kind = own.schema["doc_id"].dataType
     arrow = to_arrow_type(kind)
-    shape = pa.schema([("id", pa.int32()), ("n", pa.int64()), ("w", pa.binary()), ("doc_id", arrow), ("ids", pa.binary())])
+    shape = pa.schema([("id", pa.int32()), ("n", pa.int64()), ("doc_id", arrow), ("ids", pa.binary())])
 
     def rows(size: int, **columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(size, f.type) for f in shape], schema=shape)
@@ -248,25 +300,14 @@ def _gather(own: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, counts = encoder(vocabulary), np.zeros(VOCAB, np.int64)
         for b in batches:
-            found, whole = [], []
-            for t in b.column(1).to_pylist():
-                whole.append(enc.ids(t or ""))
-                ids = np.frombuffer(whole[-1], np.uint16)
-                if not len(ids):
-                    continue
-                counts += np.bincount(ids, minlength=VOCAB)
-                padded = np.concatenate(([BOS], ids, np.full(WINDOW, BOS))).astype(np.uint16)
-                n = 1 + len(t) // SPACING
-                for k in range(n):  # evenly over the text, from its beginning on
-                    at = k * max(0, len(ids) - WINDOW) // max(1, n - 1) if n > 1 else 0
-                    found.append(padded[at : at + WINDOW + 1].tobytes())
-            if found:
-                yield rows(len(found), w=pa.array(found, pa.binary()))
+            whole = [enc.ids(t or "") for t in b.column(1).to_pylist()]
+            for _, held in chunks(whole, BYTES):
+                counts += np.bincount(np.frombuffer(b"".join(x or b"" for x in held), np.uint16), minlength=VOCAB)
             yield rows(len(whole), doc_id=b.column(0), ids=pa.array(whole, pa.binary()))
         at = np.flatnonzero(counts)
         yield rows(len(at), id=pa.array(at, pa.int32()), n=pa.array(counts[at], pa.int64()))
 
-    out = [("id", T.IntegerType()), ("n", T.LongType()), ("w", T.BinaryType()), ("doc_id", kind), ("ids", T.BinaryType())]
+    out = [("id", T.IntegerType()), ("n", T.LongType()), ("doc_id", kind), ("ids", T.BinaryType())]
     return table(own.select("doc_id", "text").mapInArrow(run, T.StructType([T.StructField(n, k) for n, k in out])))
 
 
@@ -283,19 +324,23 @@ def _fit(gathered: DataFrame, rounds: int) -> tuple[dict, np.ndarray, np.ndarray
         counts[i] = n
     cls, share = classes(counts)
     p = flat(initial())
-    for _ in range(rounds):
+    for turn in range(rounds):
         now = spark.sparkContext.broadcast((p, cls))
 
         def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def windows() -> Iterator[np.ndarray]:
-                held: list[bytes] = []
+                left, before = np.empty((0, WINDOW + 1), np.uint16), 0
                 for b in batches:
-                    held += b.column(0).to_pylist()
-                    while len(held) >= BATCH:
-                        yield np.frombuffer(b"".join(held[:BATCH]), np.uint16).reshape(-1, WINDOW + 1)
-                        held = held[BATCH:]
-                if held:
-                    yield np.frombuffer(b"".join(held), np.uint16).reshape(-1, WINDOW + 1)
+                    for _, held in chunks(b.column(0).to_pylist(), BYTES):
+                        found = tiles([np.frombuffer(x or b"", np.uint16) for x in held])
+                        own = found[(turn - before) % rounds :: rounds]  # each window in one round
+                        before += len(found)
+                        left = np.concatenate((left, own))
+                        whole = len(left) // BATCH * BATCH
+                        yield from (left[u : u + BATCH] for u in range(0, whole, BATCH))
+                        left = left[whole:]
+                if len(left):
+                    yield left
 
             start, known = now.value
             done, seen = train(unflat(start), windows(), known)
@@ -303,7 +348,7 @@ def _fit(gathered: DataFrame, rounds: int) -> tuple[dict, np.ndarray, np.ndarray
                 x = flat(done).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(x), dtype=np.int32)), pa.array(x * seen), pa.array(np.full(len(x), float(seen)))], ["i", "s", "w"])
 
-        mean = gathered.where("w is not null").select("w").mapInArrow(local, "i int, s double, w double").groupBy("i").agg((F.sum("s") / F.sum("w")).alias("x")).toPandas()  # as many as the model has
+        mean = gathered.where("ids is not null").select("ids").mapInArrow(local, "i int, s double, w double").groupBy("i").agg((F.sum("s") / F.sum("w")).alias("x")).toPandas()  # as many as the model has
         if not len(mean):
             break
         p = np.zeros(len(p))

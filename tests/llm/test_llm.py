@@ -244,6 +244,23 @@ def test_training_beats_unigrams_on_held_out(spark):
     assert nll[1] < nll[0]
 
 
+def test_training_sees_every_id_once(spark):
+    rng = np.random.default_rng(15)
+    ids = [rng.integers(0, 50_000, n).astype(np.uint16) for n in (0, 1, 31, 32, 33, 64, 0, 500)]
+    w = lmscore.tiles(ids)
+    want = np.concatenate(ids)
+    assert (w[:, 1:][w[:, 1:] != lmscore.BOS] == want).all() and len(w) == 1 + 1 + 1 + 2 + 2 + 16
+    assert (w[:, 0] == lmscore.BOS).sum() == 6 and w[-1, 0] == ids[-1][479]
+    assert lmscore.tiles([ids[0]]).shape == (0, lmscore.WINDOW + 1)
+    # what only comes late in documents is learnt: a song after 40 words of noise
+    song = "one two three four five six seven eight nine ten eleven twelve".split()
+    noise = lambda: [f"{a}{b}" for a, b in rng.integers(0, 99, (40, 2))]
+    late = docs(spark, [" ".join(noise() + song * 6) for _ in range(300)])
+    held_out = docs(spark, [" ".join(song * 6)] * 4)
+    nll = [lmscore.scores(held_out, lmscore.fit(late, rounds=r)).agg(F.sum("nll")).first()[0] for r in (0, 2)]
+    assert nll[1] < 0.93 * nll[0]
+
+
 # 4 ----------------------------------------------------------------------------------------------------------------------
 
 
