@@ -6,9 +6,12 @@ prototype bundles all trigrams of all documents labelled with it. A document goe
 cosine. Bundling is linear, so the prototypes come from exact trigram counts by language over the whole table, which
 Spark adds up; only those counts (bounded by the alphabet, not by the corpus) reach the driver.
 
-A document is rejected if it has no letters, or has at least ``enough`` trigrams and its best cosine is still under
-``noise`` standard deviations of what a random vector gets, 1/sqrt(dim): it then resembles no language known. With fewer
-trigrams a low cosine says nothing, so short texts with letters are accepted.
+A document is rejected if it has no letters, or has at least ``enough`` trigrams and its best cosine is under the limit
+for its length: it then resembles no language known. Cosines rise with length, of text as of gibberish, so the limit is
+fitted to all labelled rows: half of the 1st percentile of their cosines, by powers of two of trigrams. A length of under
+FEW labelled rows has the limit of the nearest length with as many (the shorter of two), and never is a limit under
+``noise`` standard deviations of what a random vector gets, 1/sqrt(dim). With fewer trigrams a low cosine says nothing,
+so short texts with letters are accepted.
 
 Null or empty text, or text without letters: no language, cosine null, rejected. Very long text: counted whole.
 Null label: not used in a prototype. Ties: the language first by name. Repeated rows: the same result each. Empty table
@@ -31,6 +34,7 @@ from .textvec import chunks, code_points
 
 DIM, NOISE, ENOUGH, SEED = 512, 4.0, 30, 8
 SLOTS, BITS = 128, 7  # letters have slots 1 to 127, 0 is anything else
+LENGTHS, BINS, FEW, LOW, PART = 40, 1000, 20, 0.01, 0.5  # of the limits
 SIZE = 300_000  # characters at once
 
 
@@ -137,10 +141,49 @@ def prototypes(docs: DataFrame, text: str = "text", label: str = "lang", dim: in
     return names, (protos / np.where(norm > 0, norm, 1)).astype(np.float32)
 
 
-def classifier(names: list[str], protos: np.ndarray, noise: float = NOISE, enough: int = ENOUGH):
+def _nearest(texts: list[str], protos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Cosines with each prototype, the best one and its cosine, and how many trigrams each text has (0: no vector)."""
+    v, grams = profile(texts, protos.shape[1])
+    norm = np.linalg.norm(v, axis=1)
+    cos = (v @ protos.T) / np.where(norm > 0, norm, 1)[:, None]
+    best = cos.argmax(1)
+    return cos, best, cos[np.arange(len(texts)), best], np.where(norm > 0, grams, 0)
+
+
+def _length(grams: np.ndarray) -> np.ndarray:
+    return np.log2(np.maximum(grams, 1)).astype(np.int64)
+
+
+def limits(docs: DataFrame, protos: np.ndarray, noise: float = NOISE, enough: int = ENOUGH, text: str = "text", label: str = "lang") -> np.ndarray:
+    """Least cosine by length, from all labelled rows."""
+    least = np.full(LENGTHS, noise / (protos.shape[1] if len(protos) else DIM) ** 0.5)
+    if not len(protos):
+        return least
+    rows = positional(docs).select(F.col(f"_{index_of(docs, text)}").alias("t"), F.col(f"_{index_of(docs, label)}").alias("l")).where("l is not null and t is not null").select("t")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(LENGTHS * BINS, np.int64)
+        for b in batches:
+            for _, held in _blocks(b.column(0).to_pylist()):
+                _, _, top, grams = _nearest(held, protos)
+                at = _length(grams) * BINS + (np.clip(top, 0, 1) * (BINS - 1)).astype(np.int64)
+                total += np.bincount(at[grams >= enough], minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["at", "n"])
+
+    found = np.zeros(LENGTHS * BINS, np.int64)
+    for at, n in rows.mapInArrow(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n")).collect():  # LENGTHS x BINS at most
+        found[at] = n
+    found = found.reshape(LENGTHS, BINS)
+    known = np.flatnonzero(found.sum(1) >= FEW)
+    if len(known):
+        low = (found.cumsum(1) > LOW * found.sum(1)[:, None]).argmax(1) / (BINS - 1) * PART
+        least = np.maximum(least, low[known[np.abs(np.arange(LENGTHS)[:, None] - known).argmin(1)]])
+    return least
+
+
+def classifier(names: list[str], protos: np.ndarray, least: np.ndarray, enough: int = ENOUGH):
     """Pandas UDF: text -> (lang, cosine, margin, accepted)."""
-    dim = protos.shape[1] if len(names) else DIM
-    least = noise / dim**0.5
 
     @F.pandas_udf("lang string, cosine double, margin double, accepted boolean")
     def classify(texts: pd.Series) -> pd.DataFrame:
@@ -148,33 +191,34 @@ def classifier(names: list[str], protos: np.ndarray, noise: float = NOISE, enoug
         lang, cosine, margin, good = np.full(n, None, object), np.full(n, np.nan), np.full(n, np.nan), np.zeros(n, bool)
         if len(names):
             for start, held in _blocks(texts.tolist()):
-                v, grams = profile(held, dim)
-                norm = np.linalg.norm(v, axis=1)
-                cos = (v @ protos.T) / np.where(norm > 0, norm, 1)[:, None]
-                best = cos.argmax(1)
-                top = cos[np.arange(len(held)), best]
+                cos, best, top, grams = _nearest(held, protos)
                 second = np.partition(cos, -2, axis=1)[:, -2] if len(names) > 1 else np.zeros(len(held))
-                ok = (norm > 0) & (grams > 0)
+                ok = grams > 0
                 at = start + np.flatnonzero(ok)
                 lang[at] = np.array(names, object)[best[ok]]
                 cosine[at], margin[at] = top[ok], (top - second)[ok]
-                good[at] = ((top >= least) | (grams < enough))[ok]
+                good[at] = ((top >= least[_length(grams)]) | (grams < enough))[ok]
         return pd.DataFrame({"lang": lang, "cosine": [None if np.isnan(x) else round(float(x), 4) for x in cosine], "margin": [None if np.isnan(x) else round(float(x), 4) for x in margin], "accepted": good})
 
     return classify
 
 
+def _fitted(docs: DataFrame, noise: float, dim: int):
+    names, protos = prototypes(docs, dim=dim)
+    return classifier(names, protos, limits(docs, protos, noise))
+
+
 def identify(docs: DataFrame, noise: float = NOISE, dim: int = DIM) -> DataFrame:
     """doc_id, lang (found), cosine, margin over the second language, accepted."""
     arrow_batches(docs.sparkSession)
-    classify = classifier(*prototypes(docs, dim=dim), noise)
+    classify = _fitted(docs, noise, dim)
     return pick(docs, "doc_id", "text").select("doc_id", classify("text").alias("r")).select("doc_id", "r.lang", "r.cosine", "r.margin", "r.accepted")
 
 
 def accepted(docs: DataFrame, noise: float = NOISE, dim: int = DIM) -> DataFrame:
     """The rows of ``docs`` that identify() accepts, with all their columns; no join or shuffle."""
     arrow_batches(docs.sparkSession)
-    classify = classifier(*prototypes(docs, dim=dim), noise)
+    classify = _fitted(docs, noise, dim)
     p = positional(docs).withColumn("_r", classify(F.col(f"_{index_of(docs, 'text')}")))
     return p.where("_r.accepted").drop("_r").toDF(*docs.columns)
 

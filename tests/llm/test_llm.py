@@ -396,6 +396,15 @@ def test_languages(spark):
     assert kept == {i for i, r in got.items() if r.accepted} and len(kept & set(range(60))) == 60
 
 
+def test_long_gibberish_is_rejected(spark):
+    rng = np.random.default_rng(17)
+    texts = [" ".join(rng.choice(s.split(), n)) for s in (EN, FR) for n in (30, 100, 400, 1500) for _ in range(25)]
+    junk = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz     "), n)) for n in (100, 300, 1000, 3000, 10_000, 20_000) for _ in range(10)]
+    df = docs(spark, texts + junk, langs=["en"] * 100 + ["fr"] * 100 + [None] * 60)
+    got = {r.doc_id for r in langid.identify(df).collect() if r.accepted}
+    assert got == set(range(200))
+
+
 def test_profiles_are_sums_of_bound_letters():
     r = langid.letters()
     text = "cab"
