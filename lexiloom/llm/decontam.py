@@ -4,8 +4,8 @@ Jaccard similarity says nothing of a short item in a long document, so documents
 2^c shingles (K consecutive words) has 2^(c+1) hash bins and signs with the least shingle hash of each bin. For each size
 class an item signs with the same bins, and a document is a candidate for every item with which it shares a bin's
 minimum. As bins grow with the size class, a shared shingle is a document's minimum with probability of 0.79 or more at
-any length, so an item of 11 shingles held in full is missed with probability under 1e-7. Candidates
-are verified by exact containment: the share of the item's distinct shingles that the document has.
+any length, so an item of 11 shingles held in full is missed with probability under 1e-7, and one of 4 under 0.2 %.
+Items of fewer than FEW shingles are looked up by all shingles of a document, so none is missed. Candidates are verified by exact containment: the share of the item's distinct shingles that the document has.
 
 Documents are read once and never shuffled while the items' keys fit KEYS_BROADCAST; beyond that, the keys of both sides
 are joined with a shuffle and candidates verified after a join with their texts.
@@ -33,11 +33,13 @@ from .textvec import chunks, mix, shingles, words
 K, CONTAINMENT = 5, 0.7
 CLASSES = range(5, 40)  # size classes: 32 shingles to more than any text has
 KEYS_BROADCAST = 4_000_000  # items' keys that may be sent to every executor: 64 MB
+FEW = 4  # an item of fewer distinct shingles is looked up exactly
 BITS = 22  # of a first screen of keys
 
 
-def signatures(s: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, document, size class) of the bin minima of n documents. A key is a hash of shingle and class."""
+def signatures(s: np.ndarray, doc: np.ndarray, n: int, near: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, document, size class) of the bin minima of n documents, and in class 0 of all shingles that
+    the screen ``near`` has. A key is a hash of shingle and class."""
     if not len(s):
         return s, doc, doc
     h = s >> np.uint64(20)  # 44 bits; a chunk has fewer than 2^20 documents
@@ -47,7 +49,12 @@ def signatures(s: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     cls = np.maximum(CLASSES[0], np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))[doc]
     place = h >> (np.uint64(44 - 1) - cls.astype(np.uint64))  # the first c+1 bits are the bin
     least = np.concatenate(([True], (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])))
-    return class_keys(h[least], cls[least]), doc[least], cls[least]
+    key, at, cls = class_keys(h[least], cls[least]), doc[least], cls[least]
+    if near is None:
+        return key, at, cls
+    some = near[h >> np.uint64(44 - BITS)]
+    zero = np.zeros(some.sum(), np.int64)
+    return np.concatenate((key, class_keys(h[some], zero))), np.concatenate((at, doc[some])), np.concatenate((cls, zero))
 
 
 def class_keys(h44: np.ndarray, cls: np.ndarray) -> np.ndarray:
@@ -55,8 +62,10 @@ def class_keys(h44: np.ndarray, cls: np.ndarray) -> np.ndarray:
 
 
 def item_keys(own: np.ndarray) -> np.ndarray:
-    """Keys of an item's distinct shingles in every size class."""
+    """Keys of an item's distinct shingles in every size class; of a few shingles, all in class 0."""
     h = np.unique(own >> np.uint64(20))
+    if len(h) < FEW:
+        return class_keys(h, np.zeros(len(h), np.int64))
     out = []
     for c in CLASSES:
         place = h >> np.uint64(43 - c)
@@ -65,6 +74,15 @@ def item_keys(own: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
+def screen(prefixes: np.ndarray) -> np.ndarray | None:
+    """Which prefixes of BITS bits the shingles of items of few shingles have; None if there are none."""
+    if not len(prefixes):
+        return None
+    near = np.zeros(1 << BITS, bool)
+    near[prefixes] = True
+    return near
+
+
 class Index:
     """Items' shingles and keys for the search within a Python worker."""
 
@@ -75,6 +93,8 @@ class Index:
         self.item = np.repeat(np.arange(len(parts)), [len(k) for k in keys])
         order = np.argsort(self.key, kind="stable")
         self.key, self.item = self.key[order], self.item[order]
+        few = [p for p in parts if len(np.unique(p >> np.uint64(20))) < FEW]
+        self.near = screen(np.concatenate(few) >> np.uint64(64 - BITS)) if few else None
         self.bits = BITS
         self.screen = np.zeros(1 << self.bits, bool)
         self.screen[self.key >> np.uint64(64 - self.bits)] = True
@@ -83,7 +103,7 @@ class Index:
         """(number of the text, number of the item, containment)."""
         for start, held in chunks(texts):
             s, doc = shingles(*words(held), k)
-            key, at, _ = signatures(s, doc, len(held))
+            key, at, _ = signatures(s, doc, len(held), self.near)
             some = self.screen[key >> np.uint64(64 - self.bits)]
             key, at = key[some], at[some]
             lo, hi = np.searchsorted(self.key, key, "left"), np.searchsorted(self.key, key, "right")
@@ -156,12 +176,15 @@ def _joined(own: DataFrame, q: DataFrame, k: int, containment: float) -> DataFra
     own = table(own.withColumn("row", F.monotonically_increasing_id()))  # rows are told apart, whatever their doc_id
     q = table(q.withColumn("item", F.monotonically_increasing_id()))
 
+    few = q.where(F.size("q") < FEW).select(F.explode("q").alias("x")).select(F.shiftrightunsigned("x", 64 - BITS).alias("p")).distinct()
+    near = screen(np.array([r[0] for r in few.toLocalIterator()], np.int64))  # 2^BITS rows at most
+
     def doc_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = b.column(1).to_numpy()
             for start, held in chunks(b.column(0).to_pylist()):
                 s, doc = shingles(*words(held), k)
-                key, at, _ = signatures(s, doc, len(held))
+                key, at, _ = signatures(s, doc, len(held), near)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(rows[start + at])], ["key", "row"])
 
     def keys_of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -293,6 +293,19 @@ def test_leaks_against_brute_force(spark):
         assert kept == set(range(len(texts))) - {d for d, _ in got}
 
 
+@pytest.mark.parametrize("n", [5, 6, 7, 8])
+def test_items_of_few_shingles_are_all_found(spark, n):
+    rng = np.random.default_rng(16 + n)
+    items = [prose(rng, n, 3000) for _ in range(60)]
+    texts = [f"{prose(rng, int(rng.choice([30, 60, 200, 1000])), 3000)} {t} {prose(rng, 20, 3000)}" for t in items for _ in range(3)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    for limit in (decontam.KEYS_BROADCAST, 0):
+        got = {(r.doc_id, r.item_id) for r in decontam.leaks(docs(spark, texts), bench, limit=limit).collect()}
+        want = {(i, i // 3) for i in range(180)}
+        assert got >= want if n < 8 else len(got & want) >= 178
+        assert n > 5 or decontam.clean(docs(spark, texts), bench, limit=limit).count() == 0
+
+
 # 5 ----------------------------------------------------------------------------------------------------------------------
 
 
