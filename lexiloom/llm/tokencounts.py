@@ -165,8 +165,6 @@ def counter(path: str = VOCABULARY) -> Counter:
 def longest_within(deltas: bytes, budget: int) -> int:
     """Characters of the longest prefix of at most ``budget`` tokens."""
     n = np.frombuffer(deltas, "<i2")
-    if len(n) <= budget:
-        return len(n)
     fits = np.flatnonzero(np.cumsum(n, dtype=np.int64) <= budget)
     return int(fits[-1]) + 1 if len(fits) else 0
 

@@ -449,6 +449,20 @@ def test_every_prefix_against_encoding_again(spark):
     assert got[0].t == len(enc.encode_ordinary(texts[0][:5])) and got[1].t is None
 
 
+def test_budgets_of_texts_with_more_tokens_than_characters(spark):
+    import tiktoken
+
+    c = tokencounts.counter()
+    enc = tiktoken.Encoding("own", pat_str=tokencounts.PATTERN, mergeable_ranks=c.ranks, special_tokens={})
+    texts = ["𐎀𐎁𐎂𐎃" * 100, "ᚠᚢᚦ" * 40 + " plain words", "ꙮ"]
+    budgets = (1, 3, 100, 300, 399, 401, 512, 1000, 5000)
+    for r in tokencounts.counts(docs(spark, texts), budgets=budgets).collect():
+        t = texts[r.doc_id]
+        n = [len(enc.encode_ordinary(t[:k])) for k in range(len(t) + 1)]
+        assert r.n_tokens == n[-1]
+        assert [r[f"cut_{b}"] for b in budgets] == [max(k for k, x in enumerate(n) if x <= b) for b in budgets]
+
+
 # 10 ---------------------------------------------------------------------------------------------------------------------
 
 
