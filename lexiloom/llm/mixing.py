@@ -3,19 +3,22 @@
 Documents of a source, in the order of md5(doc_id), form blocks. With a source's weight w, its k-th block may not come
 before slot floor((k-1)/w) and must be out by slot ceil(k/w). Earliest deadline first over the released blocks meets
 every deadline (weights sum to 1, one block a slot), so at any slot each source is less than one block from its weight.
-Weights are exact fractions, so a rare source never gets more than its weight and doesn't run out before the others. One
-task walks the slots in order and writes (source, block, slot); it holds a block a source, and its work is a heap step a
-block. The mix ends at the first slot whose source has run out, as from there on the weights can't be met; documents
-after it have no slot. With ``frame`` given, weights are rounded to multiples of 1/frame, at least one each.
 
-Weights default to the sources' own sizes in blocks, but that no source counts for more than ``max_share`` of all blocks,
-or than the sum of squared shares where that is more (few sources make up the table): a hot source is thinned, others
-stay whole. The limit is continuous in the sizes: a source of a few rows more or less moves it by next to nothing.
+A source that runs out leaves the mix and the others go on in the ratio of their weights, so every document of a source
+with a weight gets a slot: a mix is a run of phases, each with the sources that are left. A phase ends before a source
+could run short; of the blocks whose windows reach beyond its end, those of the earliest release are still in it (as many
+as there are slots left; that choice can always be scheduled). Tasks are frames of FRAME slots. A phase of up to FRAME
+slots (16 million documents) is one, with the weights' own windows. A longer one is cut into frames whose blocks by
+source are the weights' shares, rounded so that running sums stay within a block of the weights, and these numbers are
+the frame's weights: a source is less than one block from them and less than two from its own weight.
+
+``weights`` are parts of the mix by source. A source that isn't named weighs its own share of all blocks beside them, one
+with weight 0 gets no slot. Without weights every source weighs its share, and all run out together.
 
 The rank of a document in its source comes from counts by (source, hash bucket) and a rank inside the bucket, so a hot
 source is spread over all tasks. Null source: a source of its own. Null doc_id: ordered as "". Repeated rows: each is
-counted and placed. Ties in the hash: by doc_id. Null text: as any other. Empty table: no rows. A source that has a
-target weight but no documents ends the mix at its first slot; a source without a target weight gets no slot.
+counted and placed. Ties in the hash: by doc_id. Null text: as any other. Empty table: no rows. A weight of a source
+without documents: no part of the mix. Sources are a row each on the driver: more than SOURCES are an error.
 Other columns are left out of schedule() and kept by mixed().
 """
 
@@ -33,96 +36,123 @@ from pyspark.sql import functions as F
 
 from .common import arrow_batches, index_of, pick, positional, table
 
-BLOCK, MAX_SHARE = 16, 0.2
+BLOCK, FRAME, SOURCES = 16, 1_000_000, 10_000
 ROWS = 50_000  # slots in a batch
 BUCKET_DIGITS = 3  # 4096 hash buckets a source
-
-
-def target_weights(sizes: dict, max_share: float = MAX_SHARE) -> dict:
-    """Exact shares in proportion to size; a size counts up to max_share of the total, or the sum of squares by the total."""
-    total = sum(sizes.values())
-    if not total:
-        return {}
-    most = max(Fraction(str(max_share)) * total, Fraction(sum(n * n for n in sizes.values()), total))
-    counted = {s: min(Fraction(n), most) for s, n in sizes.items()}
-    rest = sum(counted.values())
-    return {s: n / rest for s, n in counted.items()}
+#: target weights of query() and of the pipeline: equal parts for the known sources, others beside them by their size
+WEIGHTS = {f"src{i}": 0.05 for i in range(20)}
 
 
 def _order(s) -> tuple:
     return (s is not None, str(s))
 
 
-def exact(weights: dict) -> tuple[dict, int]:
-    """(quota, frame): whole numbers in the very ratio of the weights, and their sum."""
-    parts = {s: w if isinstance(w, Fraction) else Fraction(str(w)) for s, w in weights.items() if w > 0}
-    d = math.lcm(*(w.denominator for w in parts.values()))
-    quota = {s: int(w * d) for s, w in parts.items()}
-    common = math.gcd(*quota.values()) or 1
+def target_weights(blocks: dict, weights: dict | None = None) -> dict:
+    """Exact weights, by source that has blocks and a weight: the given ones, and own shares of all blocks."""
+    total, given = sum(blocks.values()), weights or {}
+    out = {s: Fraction(str(given[s])) if s in given else Fraction(n, total) for s, n in blocks.items() if n}
+    return {s: w for s, w in out.items() if w > 0}
+
+
+def whole(weights: dict) -> tuple[dict, int]:
+    """Whole numbers in the very ratio of the weights, and their sum."""
+    d = math.lcm(*(w.denominator for w in weights.values()))
+    quota = {s: int(w * d) for s, w in weights.items()}
+    common = math.gcd(*quota.values())
     return {s: q // common for s, q in quota.items()}, sum(quota.values()) // common
 
 
-def quotas(weights: dict, frame: int) -> dict:
-    """Slots of each source in a frame: largest remainders, at least one each."""
-    weights = {s: w for s, w in weights.items() if w > 0}
-    if len(weights) > frame:
-        raise ValueError(f"{len(weights)} sources need a frame of more than {frame} slots")
-    names, total = sorted(weights, key=_order), sum(weights.values())
-    share = {s: weights[s] / total * frame for s in names}
-    out = {s: max(1, math.floor(share[s])) for s in names}
-    for s in sorted(names, key=lambda s: (-(share[s] - math.floor(share[s])), _order(s))):
-        if sum(out.values()) < frame:
-            out[s] += 1
-    while sum(out.values()) > frame:
-        s = max(names, key=lambda s: (out[s] - share[s], out[s], _order(s)))
-        out[s] -= 1
+def phases(blocks: dict, weights: dict) -> Iterator[tuple[dict, dict, int, dict]]:
+    """(exact weights, blocks before, slots, blocks in it) of each phase: as long as no source that is left runs short."""
+    done, left = dict.fromkeys(weights, 0), dict(weights)
+    while left:
+        total = sum(left.values())
+        now = {s: w / total for s, w in left.items()}
+        rest = {s: blocks[s] - done[s] for s in now}
+        size = min(rest[s] // w for s, w in now.items())
+        here = {s: math.floor(w * size) for s, w in now.items()}
+        cut = [s for s, w in now.items() if w * size != here[s]]  # a window reaches beyond the end
+        cut.sort(key=lambda s: (here[s] // now[s], here[s] + 1 != rest[s], _order(s)))
+        for s in cut[: size - sum(here.values())]:
+            here[s] += 1
+        yield now, {s: done[s] for s in now}, size, here
+        for s, n in here.items():
+            done[s] += n
+            if n == rest[s]:
+                del left[s]
+
+
+def rounded(weights: dict, slots: int, least: dict, most: dict) -> dict:
+    """Whole numbers that sum to ``slots``, each less than one from its weight's share where ``least`` and ``most`` let
+    it, by largest remainders."""
+    share = {s: w * slots for s, w in weights.items()}
+    out = {s: min(most[s], max(math.floor(x), least[s])) for s, x in share.items()}
+    gap = slots - sum(out.values())
+    for s in sorted(share, key=lambda s: (out[s] - share[s], _order(s)), reverse=gap < 0):
+        step = min(1, most[s] - out[s]) if gap > 0 else -min(1, out[s] - least[s]) if gap < 0 else 0
+        out[s], gap = out[s] + step, gap - step
+    assert not gap  # a frame has many times as many slots as there are sources
     return out
 
 
-def slots(quota: dict, frame: int) -> Iterator[tuple]:
-    """(source, number of its block from 0) of each slot, without end: earliest deadline first among released blocks;
-    ties by the source's order."""
-    names = sorted(quota, key=_order)
+def frames(blocks: dict, weights: dict, size: int) -> Iterator[tuple[int, int, int, dict]]:
+    """(first slot, slots, sum of quotas, {source: (first block, blocks, quota)}) of each frame."""
+    at = 0
+    for now, before, n, here in phases(blocks, weights):
+        if n <= size:
+            quota, total = whole(now)
+            yield at, n, total, {s: (before[s], here[s], quota[s]) for s in now if here[s]}
+        else:
+            seen = dict.fromkeys(now, 0)
+            for end in [*range(size, n - size, size), n]:  # the last one is of up to two sizes, so that it has room
+                to = here if end == n else rounded(now, end, seen, here)
+                long = end - sum(seen.values())
+                yield at + end - long, long, long, {s: (before[s] + seen[s], to[s] - seen[s], to[s] - seen[s]) for s in now if to[s] > seen[s]}
+                seen = to
+        at += n
+
+
+def frame_slots(long: int, total: int, part: dict) -> Iterator[tuple]:
+    """(source, block) of each of a frame's slots, for part {source: (first block, blocks, quota)}: earliest deadline
+    first among released blocks, ties by the source's order. A block that is in the frame has its deadline there."""
+    names = sorted(part, key=_order)
+    first, most, quota = ([part[s][i] for s in names] for i in range(3))
     waiting = [(0, i, 1) for i in range(len(names))]
     heapq.heapify(waiting)
     ready = []
-    for t in itertools.count() if names else ():
+    for t in range(long):
         while waiting and waiting[0][0] <= t:
             _, i, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-k * frame // quota[names[i]]), i, k))
+            heapq.heappush(ready, (min(-(-k * total // quota[i]), long), i, k))
         deadline, i, k = heapq.heappop(ready)
         assert deadline > t
-        yield names[i], k - 1
-        heapq.heappush(waiting, (k * frame // quota[names[i]], i, k + 1))
-
-
-def frame_schedule(quota: dict, frame: int) -> list:
-    """The source of each slot of a frame."""
-    return [s for s, _ in itertools.islice(slots(quota, frame), frame)]
+        yield names[i], first[i] + k - 1
+        if k < most[i]:
+            heapq.heappush(waiting, (k * total // quota[i], i, k + 1))
 
 
-def _plan(spark, sizes: dict, weights: dict | None, block: int, frame: int | None, max_share: float) -> DataFrame:
-    """(s, b, slot) of every block in the mix. A table."""
+def _plan(spark, sizes: dict, weights: dict | None, block: int, frame: int) -> DataFrame:
+    """(s, b, slot) of every block in the mix. A table. A frame's numbers are a row, so tasks get only their own."""
+    if len(sizes) > SOURCES:
+        raise ValueError(f"{len(sizes)} sources are more than {SOURCES}: mix by a column of fewer")
     blocks = {s: -(-n // block) for s, n in sizes.items()}
-    weights = target_weights(blocks, max_share) if weights is None else weights
-    quota, frame = exact(weights) if frame is None else (quotas(weights, frame), frame)
+    frame = max(frame, 64 * len(blocks))
+    todo = [(at, long, str(total), [(s, first, n, str(q)) for s, (first, n, q) in part.items()]) for at, long, total, part in frames(blocks, target_weights(blocks, weights), frame)]
+    tasks = spark.createDataFrame(todo, "at bigint, long bigint, total string, part array<struct<s: string, first: bigint, n: bigint, q: string>>").repartition(max(1, len(todo)))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mix = enumerate(itertools.takewhile(lambda x: x[1] < blocks.get(x[0], 0), slots(quota, frame)))
-        for _ in batches:
-            while part := list(itertools.islice(mix, ROWS)):
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for _, x in part], pa.string()), pa.array([x[1] for _, x in part], pa.int64()), pa.array([t for t, _ in part], pa.int64())], ["s", "b", "slot"])
+        for b in batches:
+            for x in b.to_pylist():
+                mix = enumerate(frame_slots(x["long"], int(x["total"]), {y["s"]: (y["first"], y["n"], int(y["q"])) for y in x["part"]}), x["at"])
+                while rows := list(itertools.islice(mix, ROWS)):
+                    yield pa.RecordBatch.from_arrays([pa.array([y[0] for _, y in rows], pa.string()), pa.array([y[1] for _, y in rows], pa.int64()), pa.array([t for t, _ in rows], pa.int64())], ["s", "b", "slot"])
 
-    return table(spark.range(0, 1, 1, 1).mapInArrow(walk, "s string, b bigint, slot bigint"))
+    return table(tasks.mapInArrow(walk, "s string, b bigint, slot bigint"))
 
 
-def _narrow(docs: DataFrame) -> DataFrame:
-    d = pick(docs, "doc_id", "source")
-    return d.select("doc_id", F.col("source").cast("string").alias("source")).withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-
-
-def _sizes(d: DataFrame) -> dict:
-    return {r[0]: r[1] for r in d.groupBy("source").count().collect()}  # a row a source
+def _narrow(docs: DataFrame, *more: str) -> DataFrame:
+    d = pick(docs, "doc_id", "source", *more)
+    return d.select("doc_id", F.col("source").cast("string").alias("source"), *more).withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
 
 
 def _ranked(d: DataFrame) -> DataFrame:
@@ -132,34 +162,37 @@ def _ranked(d: DataFrame) -> DataFrame:
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = d.withColumn("i", F.row_number().over(Window.partitionBy("source", "bucket").orderBy("h", "doc_id")))
     b = before.select(F.col("source").alias("s"), F.col("bucket").alias("b"), "before")
-    return inside.join(b, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).select("doc_id", "source", "h", (F.col("before") + F.col("i") - 1).alias("rank"))
+    both = inside.join(b, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+    return both.withColumn("rank", F.col("before") + F.col("i") - 1).drop("s", "b", "before", "i", "bucket", "h")
 
 
-def schedule(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, frame: int | None = None, max_share: float = MAX_SHARE) -> DataFrame:
-    """doc_id, source, block (from 0 in the source), slot and position (from 0 in the mix; null for what isn't in it)."""
-    arrow_batches(docs.sparkSession)
-    d = _narrow(docs)
-    plan = _plan(docs.sparkSession, _sizes(d), weights, block, frame, max_share)
-    r = _ranked(d).withColumn("block", F.floor(F.col("rank") / block))
+def _placed(d: DataFrame, weights: dict | None, block: int, frame: int) -> DataFrame:
+    """d (doc_id, source, h and others) with block, slot and position in place of h."""
+    sizes = {r[0]: r[1] for r in d.groupBy("source").count().limit(SOURCES + 1).collect()}  # a row a source; _plan() refuses more
+    plan = _plan(d.sparkSession, sizes, weights, block, frame)
+    r = _ranked(d).withColumn("block", F.floor(F.col("rank") / block).cast("bigint"))
     r = r.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left")
-    return r.select("doc_id", "source", F.col("block").cast("bigint").alias("block"), "slot", (F.col("slot") * block + F.col("rank") % block).cast("bigint").alias("position"))
+    return r.withColumn("position", (F.col("slot") * block + F.col("rank") % block).cast("bigint")).drop("s", "b", "rank")
+
+
+def schedule(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, frame: int = FRAME) -> DataFrame:
+    """doc_id, source, block (from 0 in the source), slot and position: its order in the mix. The last block of a source
+    can be short, so positions can skip some numbers; they are null for a source of weight 0."""
+    arrow_batches(docs.sparkSession)
+    return _placed(_narrow(docs), weights, block, frame).select("doc_id", "source", "block", "slot", "position")
 
 
-def mixed(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, frame: int | None = None, max_share: float = MAX_SHARE) -> DataFrame:
-    """The rows of ``docs`` that are in the mix. As blocks follow the hash order, a source's share is all up to one
-    hash value; that value, one row a source, is all that the texts are joined with. Rows that repeat the last
-    document of a source go with it."""
+def mixed(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, frame: int = FRAME) -> DataFrame:
+    """The rows of ``docs`` in the order of the mix, with all their columns: partitions are ranges of positions, sorted,
+    so a file or a run of files that is written from them holds the sources at their weights. Rows of sources of weight
+    0 go, all others stay. Positions are worked out on ids alone; texts move to their rows' positions and to their ranges."""
     spark = docs.sparkSession
     arrow_batches(spark)
-    d = _narrow(docs)
-    sizes = _sizes(d)
-    blocks = _plan(spark, sizes, weights, block, frame, max_share).groupBy("s").count().collect()  # a row a source
-    q = spark.createDataFrame([(s, min(sizes[s], n * block)) for s, n in blocks], "qs string, take bigint")
-    last = _ranked(d).join(F.broadcast(q), F.col("source").eqNullSafe(F.col("qs")) & (F.col("rank") == F.col("take") - 1)).select(F.col("qs"), F.col("h").alias("last"))
-    p = positional(docs)
-    src, key = F.col(f"_{index_of(docs, 'source')}").cast("string"), F.md5(F.coalesce(F.col(f"_{index_of(docs, 'doc_id')}").cast("string"), F.lit("")))
-    return p.join(F.broadcast(last), src.eqNullSafe(F.col("qs")) & (key <= F.col("last")), "left_semi").toDF(*docs.columns)  # a row a source
+    own = table(positional(docs).withColumn("_row", F.monotonically_increasing_id()))  # rows are told apart, whatever their doc_id
+    ids = own.select(F.col(f"_{index_of(docs, 'doc_id')}").alias("doc_id"), F.col(f"_{index_of(docs, 'source')}").alias("source"), F.col("_row").alias("row"))
+    at = _placed(_narrow(ids, "row"), weights, block, frame).where("slot is not null").select("row", "position")
+    return own.join(at, F.col("_row") == F.col("row")).drop("_row", "row").repartitionByRange("position").sortWithinPartitions("position").drop("position").toDF(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return schedule(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return schedule(spark.read.parquet(f"{sf_dir}/documents.parquet"), WEIGHTS)

@@ -47,7 +47,7 @@ OPERATORS = {
 def test_odd_and_empty_tables(spark, name):
     df, op = odd(spark), OPERATORS[name]
     got = op(df).collect()
-    if name not in ("leaks", "dedup", "accepted", "decontaminated", "mixed"):
+    if name not in ("leaks", "dedup", "accepted", "decontaminated"):
         assert len(got) == 9
     assert op(df.limit(0)).count() == 0
     assert op(clashing(spark)).count() >= 0
@@ -466,62 +466,109 @@ def test_budgets_of_texts_with_more_tokens_than_characters(spark):
 # 10 ---------------------------------------------------------------------------------------------------------------------
 
 
-def test_pfair_lags():
+def walked(blocks, weights=None, frame=mixing.FRAME):
+    """Slots of the whole mix, by frames."""
+    out = []
+    for at, *part in mixing.frames(blocks, mixing.target_weights(blocks, weights), frame):
+        assert at == len(out)
+        out += mixing.frame_slots(*part)
+    return out
+
+
+def plain_slots(blocks, weights):
+    """Slot by slot: of the released blocks, the one of the earliest deadline. Blocks whose windows reach beyond the end
+    of a phase are in it by earliest release; when a source has run out, a new phase begins."""
+    left, out = {s: 0 for s, n in blocks.items() if n and weights[s] > 0}, []
+    while left:
+        total = sum(weights[s] for s in left)
+        w = {s: weights[s] / total for s in left}
+        size = min((blocks[s] - left[s]) // w[s] for s in left)
+        windows = [((k - 1) // w[s], left[s] + k != blocks[s], (s is not None, str(s)), s, k, -(-k // w[s])) for s in left for k in range(1, int(w[s] * size) + 2)]
+        inside = [(a, min(d, size), o, s, k) for a, _, o, s, k, d in windows if d <= size]
+        inside += [(a, size, o, s, k) for a, _, o, s, k, d in sorted(x for x in windows if x[0] < size < x[5])][: size - len(inside)]
+        for t in range(size):
+            d, o, s, k = min((d, o, s, k) for a, d, o, s, k in inside if a <= t)
+            assert d > t
+            inside = [x for x in inside if x[3:] != (s, k)]
+            out.append((s, left[s] + k - 1))
+        for s in left:
+            left[s] = 1 + max((b for x, b in out if x == s), default=-1)
+        left = {s: n for s, n in left.items() if n < blocks[s]}
+    return out
+
+
+def test_schedule_of_weights_that_fill_a_frame_is_the_plain_one():
     weights = {"a": 0.5, "b": 0.3, "c": 0.15, None: 0.05}
-    quota = mixing.quotas(weights, 1000)
-    seen = Counter()
-    for t, s in enumerate(mixing.frame_schedule(quota, 1000), 1):
-        seen[s] += 1
-        assert all(abs(seen[x] - t * quota[x] / 1000) < 1 for x in quota)
-    assert seen == quota
+    blocks = {"a": 500, "b": 300, "c": 150, None: 50}
+    exact = mixing.target_weights(blocks, weights)
+    want = plain_slots(blocks, exact)
+    assert walked(blocks, weights) == want and len(want) == 1000
+    for blocks, weights in (({"a": 40, "b": 9, "c": 7, None: 2}, None), ({"a": 60, "b": 31, "c": 5}, {"a": 0.2, "b": 0.7, "c": 0.1}), ({"a": 12, "b": 12, "c": 12}, {"a": 1, "b": 2})):
+        assert walked(blocks, weights) == plain_slots(blocks, mixing.target_weights(blocks, weights))
+
+
+@pytest.mark.parametrize("frame", [64 * 7, mixing.FRAME])
+@pytest.mark.parametrize("blocks, weights", [
+    ({"a": 4000, "b": 1000, "c": 130, None: 7}, None),
+    ({f"s{i}": 800 + i for i in range(4)}, None),
+    ({f"s{i}": 800 + i for i in range(5)}, None),
+    ({"hot": 9000, "b": 900, "c": 900, "d": 900, "e": 1, None: 2}, {"hot": 0.25, "b": 0.25, "c": 0.25, "d": 0.25}),
+    ({"hot": 5000, "a": 77, "b": 50}, {"hot": 0.1, "a": 0.7, "b": 0.2, "absent": 3}),
+])
+def test_lags_and_wholeness(blocks, weights, frame):
+    mix, exact = walked(blocks, weights, frame), mixing.target_weights(blocks, weights)
+    assert sorted(mix, key=str) == sorted(((s, b) for s, n in blocks.items() for b in range(n)), key=str)  # every block once
+    at, most = 0, 0
+    for now, before, size, _ in mixing.phases(blocks, exact):
+        seen = Counter()
+        for t, (s, b) in enumerate(mix[at : at + size], 1):
+            assert b == before[s] + seen[s]  # a source's blocks in their order
+            seen[s] += 1
+            if t % 7 == 0 or t == size:
+                most = max(most, *(abs(seen[x] - t * w) for x, w in now.items()))
+        at += size
+    assert at == len(mix) and most < (1 if frame == mixing.FRAME else 2)
+
+
+def test_a_small_source_costs_nothing():
+    for n in (4, 5, 6):
+        blocks = {f"s{i}": 5000 for i in range(n)} | {"rare": 1, None: 3}
+        for weights in (None, {f"s{i}": 1 / 8 for i in range(n)} | {"rare": 0.5}):
+            assert len(walked(blocks, weights)) == 5000 * n + 4
 
 
 def test_mixing(spark):
-    sources = ["hot"] * 900 + ["a"] * 200 + ["b"] * 200 + [None] * 100
-    df = docs(spark, [EN] * 1400, sources)
-    weights = {"hot": 0.4, "a": 0.3, "b": 0.2, None: 0.1}
-    rows = [r for r in mixing.schedule(df, weights, block=4, frame=1000).collect() if r.slot is not None]
-    n = max(r.slot for r in rows) + 1
-    slots = {r.slot: r.source for r in rows}
-    seen = Counter()
-    for t in range(int(n)):
-        if t in slots:
-            seen[slots[t]] += 1
-        assert all(abs(seen[s] - (t + 1) * w) < 1.001 for s, w in weights.items())
-    assert len({r.position for r in rows}) == len(rows)
-    kept = {r.doc_id for r in mixing.mixed(df, weights, block=4, frame=1000).collect()}
-    assert kept == {r.doc_id for r in rows}
-
-
-def blocks_kept(sizes):
-    """Blocks of each source before the first slot whose source has run out."""
-    quota, frame = mixing.exact(mixing.target_weights(sizes))
-    seen = Counter()
-    for t, (s, k) in enumerate(mixing.slots(quota, frame), 1):
-        if k >= sizes[s]:
-            return seen
-        seen[s] += 1
-        assert t % 97 or all(abs(seen[x] - t * quota[x] / frame) < 1 for x in quota)
-
-
-def test_a_rare_source_does_not_end_the_mix():
-    sizes = {f"s{i}": 8000 + i for i in range(9)} | {"rare": 1, None: 3}
-    assert blocks_kept(sizes) == sizes
-
-
-@pytest.mark.parametrize("rare", [[], [1], [1, 1], [100, 1, 1]])
-def test_default_weights_have_no_cliff(rare):
-    sizes = dict(enumerate([10_000, 5000, 2000, 1000, *rare]))
-    got = blocks_kept(sizes)
-    assert all(got[s] == n for s, n in sizes.items() if s) and 6900 < got[0] < 7300
-    assert blocks_kept({"only": 5000, None: 1}).total() > 4990
-
-
-def test_rare_source_in_the_tables(spark):
+    sources = ["hot"] * 900 + ["a"] * 200 + ["b"] * 200 + [None] * 100 + ["off"] * 30
+    df = docs(spark, [EN] * 1430, sources)
+    weights = {"hot": 0.4, "a": 0.3, "b": 0.2, None: 0.1, "off": 0}
+    rows = mixing.schedule(df, weights, block=4).collect()
+    assert len(rows) == 1430 and {r.source for r in rows if r.slot is None} == {"off"}
+    rows = sorted((r for r in rows if r.slot is not None), key=lambda r: r.position)
+    assert len({r.position for r in rows}) == len(rows) == 1400
+    blocks = {s: -(-n // 4) for s, n in Counter(sources).items() if s != "off"}
+    want = {(s, b): t for t, (s, b) in enumerate(plain_slots(blocks, mixing.target_weights(blocks, weights)))}
+    assert {(r.source, r.block): r.slot for r in rows} == want
+    import hashlib
+
+    order = {s: sorted((i for i, x in enumerate(sources) if x == s), key=lambda i: hashlib.md5(str(i).encode()).hexdigest()) for s in blocks}
+    assert all(order[r.source].index(r.doc_id) // 4 == r.block for r in rows)
+    assert [r.doc_id for r in mixing.mixed(df, weights, block=4).collect()] == [r.doc_id for r in rows]
+
+
+def test_unnamed_sources_and_repeated_rows(spark):
     sources = [f"s{i % 5}" for i in range(2000)] + [None] * 3
-    df = docs(spark, [EN] * 2003, sources)
-    rows = mixing.schedule(df, block=1).collect()
-    assert sorted(r.slot for r in rows) == list(range(2003)) and mixing.mixed(df, block=1).count() == 2003
+    df = docs(spark, [EN] * 2003, sources).withColumn("doc_id", F.expr("doc_id div 2"))
+    for weights in (None, {"s0": 0.5}, {"elsewhere": 1}):
+        rows = mixing.schedule(df, weights, block=1).collect()
+        assert sorted(r.slot for r in rows) == list(range(2003))
+        out = mixing.mixed(df.withColumn("position", F.lit(7)), weights, block=1).collect()
+        assert Counter((r.doc_id, r.source) for r in out) == Counter((i // 2, s) for i, s in enumerate(sources)) and {r.position for r in out} == {7}
+
+
+def test_too_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SOURCES", 3)
+    with pytest.raises(ValueError, match="sources"):
+        mixing.schedule(docs(spark, [EN] * 5, list("abcde")))
 
 
 # pipeline ---------------------------------------------------------------------------------------------------------------
@@ -545,8 +592,7 @@ def test_pipeline_against_its_parts(spark, tmp_path):
     langs = {r.doc_id for r in langid.identify(spark.read.parquet(str(tmp_path / "documents.parquet"))).collect() if r.accepted}
     keep = brute_groups([t if i in langs else None for i, t in enumerate(texts)])
     left = [i for i in sorted(langs) if keep[i] == i and item not in texts[i]]
-    mixed = {r.doc_id for r in mixing.schedule(docs(spark, texts, sources).where(F.col("doc_id").isin(left))).collect() if r.slot is not None}
-    want = {r.doc_id: (r.region, r.rack, r.shard) for r in sharding.shard(spark.range(150).withColumnRenamed("id", "doc_id")).collect() if r.doc_id in mixed}
+    want = {r.doc_id: (r.region, r.rack, r.shard) for r in sharding.shard(spark.range(150).withColumnRenamed("id", "doc_id")).collect() if r.doc_id in left}
     assert got == want and not {3, 10, 20, 30} & set(got) and len(got) > 80
 
 
