@@ -1,7 +1,12 @@
 """From raw documents to shards of a training mix: five stages, each an operator of lexiloom.llm.
 
 Each stage works on all that its predecessor kept. Between the stages the documents are a Parquet table in the shared
-folder, so a lost executor costs a stage's tasks and no more.
+folder, so a lost executor costs a stage's tasks and no more. A row stays or goes as a whole, with all its columns.
+
+Null, empty or letterless texts: rejected by the first stage, as no language is found. Null doc_id: never a near copy,
+else as any row. Null source: a source of its own. Repeated rows: the same result each, but near copies of another row go
+with their doc_id. Ties: the least doc_id of near copies stays. Very long texts: read whole. Empty table: no rows. Columns
+whose names clash with the operators' own are kept, but those called as the placement (region, rack, shard) give way to it.
 """
 
 from __future__ import annotations
@@ -28,8 +33,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the sources' target weights give a slot."""
-    return mixing.mixed(docs)
+    """All documents, in the order of a mix at the sources' target weights; a source that runs out leaves the mix."""
+    return mixing.mixed(docs, WEIGHTS)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,6 +42,8 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.shard(docs)
 
 
+#: parts of the mix by source; a source that isn't here has its own share beside them
+WEIGHTS = mixing.WEIGHTS
 STAGES = [
     ("language_id", language),
     ("simhash_near_dedup", near_duplicates),
