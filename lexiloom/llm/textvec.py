@@ -73,6 +73,19 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(ends_at, start, side="right")
 
 
+def grams(h: np.ndarray, doc: np.ndarray, j: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every j consecutive words, at most k, of a text, and its text: that of a text of j words by shingles()."""
+    n = len(h)
+    if n < j:
+        return h[:0], doc[:0]
+    s = np.zeros(n - j + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(k):
+            s = mix(s * np.uint64(31) + (h[i : n - j + 1 + i] if i < j else np.uint64(0)))
+    full = doc[: n - j + 1] == doc[j - 1 :]
+    return s[full], doc[: n - j + 1][full]
+
+
 def shingles(h: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every k consecutive words of a text, and its text. A shorter text has one shingle of all its words."""
     n = len(h)
