@@ -445,13 +445,53 @@ def test_long_gibberish_is_rejected(spark):
     assert got == set(range(200))
 
 
+def plain_profile(text):
+    """Sum of bound letters, code point by code point."""
+    import re
+
+    out = np.zeros(langid.DIM, int)
+    runs = re.findall(r"[^\W\d_]+", text.lower())
+    marks = [0, *(x for run in runs for x in [*map(ord, run), 0])] if runs else []
+    for three in zip(marks, marks[1:], marks[2:]):
+        a, b, c = (langid.letters(np.array([x]))[0].astype(int) for x in three)
+        out += np.roll(a, 2) * np.roll(b, 1) * c
+    return out
+
+
 def test_profiles_are_sums_of_bound_letters():
-    r = langid.letters()
-    text = "cab"
-    s = [0, *(int(langid.slots()[ord(c)]) for c in text), 0]
-    want = sum(np.roll(r[a], 2) * np.roll(r[b], 1) * r[c] for a, b, c in zip(s, s[1:], s[2:]))
-    v, n = langid.profile([text, ""])
-    assert (v[0] == want).all() and n.tolist() == [3, 0]
+    texts = ["cab", "", "Cab, dab! x", "каб даб", "漢字 かな", "naïve 12 façade", "αβγ abc"]
+    for part in (texts, texts[:3], texts[3:4]):
+        v, n = langid.profile(part)
+        assert all((v[i] == plain_profile(t)).all() for i, t in enumerate(part))
+    assert langid.profile(["cab", ""])[1].tolist() == [3, 0]
+
+
+def test_languages_against_brute_force(spark):
+    rng = np.random.default_rng(18)
+    base = {"en": EN, "fr": FR, "ru": "быстрая коричневая лиса прыгает через ленивую собаку и бежит по зелёному лесу у старой реки", "el": "η γρήγορη καφέ αλεπού πηδάει πάνω από το τεμπέλικο σκυλί και τρέχει στο πράσινο δάσος"}
+    texts, langs = zip(*[(" ".join(rng.choice(s.split(), int(rng.choice([1, 3, 20, 90])))), name) for name, s in base.items() for _ in range(60)])
+    junk = ["".join(rng.choice(list("бвгджзклмнпрстфхцчшщ   "), 600)), "".join(rng.choice(list("βγδζθκλμνξπρστφχψ   "), 600)), "q" * 40, "7"]
+    df = docs(spark, [*texts, *junk], langs=[*langs, *[None] * 4])
+    got = {r.doc_id: r for r in langid.identify(df).collect()}
+    sums = {name: sum(plain_profile(t) for t, x in zip(texts, langs) if x == name) for name in base}
+    unit = {k: v / np.linalg.norm(v) for k, v in sums.items()}
+    near, size = [], []
+    for i, t in enumerate([*texts, *junk[:3]]):
+        v = plain_profile(t)
+        cos = {k: v @ u / np.linalg.norm(v) for k, u in unit.items()}
+        best = max(sorted(cos), key=cos.get)
+        assert got[i].lang == best and got[i].cosine == pytest.approx(cos[best], abs=2e-4)
+        near.append(cos[best])
+        size.append(sum(len(x) for x in t.split()) + len(t.split()) - 1)
+    for i in range(len(near)):  # the decision: limits by length from the labelled rows
+        own = lambda k: sorted(near[j] for j in range(240) if int(np.log2(size[j])) == k)
+        known = [k for k in range(40) if len(own(k)) >= langid.FEW]
+        at = int(np.log2(size[i]))
+        k = min(known, key=lambda k: (abs(k - at), k))
+        low, floor = langid.PART * own(k)[int(langid.LOW * len(own(k)))], langid.NOISE / langid.DIM**0.5 * min(1, (2**at / langid.ENOUGH) ** 0.5)
+        limit = min(low, floor) if 2**at < langid.ENOUGH else max(low, floor)
+        assert abs(near[i] - limit) < 2e-3 or got[i].accepted == (near[i] >= limit)
+    assert sum(got[i].lang == x for i, x in enumerate(langs)) >= 236 and not any(got[240 + i].accepted for i in range(4))
 
 
 # 9 ----------------------------------------------------------------------------------------------------------------------
