@@ -4,14 +4,18 @@ A document's fingerprint has 128 bits: each distinct word votes with the bits of
 if at most ``budget`` bits differ, and groups are the connected components of that.
 
 The join descends a binary trie with itself: a pair of nodes holds the differing bits so far, and is dropped as soon as
-they exceed what the depth allows. If two fingerprints differ in at most K of 128 bits, cut into BLOCKS blocks, then they
-can be rotated to start at some block so that for every l the first l blocks differ in at most l*K/BLOCKS bits (the cycle
-lemma, i.e. the pigeonhole principle on a ring). So BLOCKS rotated tries, with a budget that grows along the path, find
-every pair within K, and node pairs are pruned near the roots already; nothing is approximate. A trie's top levels are
-the unit of distribution: a fingerprint goes to every node pair of its rotation that the budget allows at that depth,
-and the depth follows from the number of fingerprints, so that a task's sub-tries have a bounded size.
+they exceed what the depth allows. If two fingerprints differ in at most K of 128 bits, cut into K + 1 blocks of 5 or 6
+bits, then they can be rotated to start at some block so that for every l the first l blocks differ in under l bits (the
+cycle lemma, i.e. the pigeonhole principle on a ring). So K + 1 rotated tries, with a budget that grows along the path,
+find every pair within K, and node pairs are pruned near the roots already; nothing is approximate.
 
-Within a task only a spanning forest of the pairs found is kept, so groups of thousands give no quadratic output.
+The tries' top levels are the unit of distribution. In its first block a pair agrees, so a fingerprint goes to one node a
+rotation: 23 rows. Where a node has more than NODE fingerprints, by a count of all, it is split by the next block, or the
+next two, and a fingerprint goes to every pair of sub-nodes that the budget allows there (7 and 64 rows a rotation). Rows
+are 23 a fingerprint up to some 20 million fingerprints of even prefixes, 161 up to a billion and 1,472 beyond.
+
+Within a task only a spanning forest of the pairs found is kept, and node pairs whose fingerprints are all of one group
+already aren't compared, so groups of thousands give no quadratic output.
 
 Null, empty or wordless text: a document of its own, never a copy. Null doc_id: not compared, a document of its own.
 Repeated rows of one doc_id stay or go together. Ties: the least doc_id of a group is kept. Very long text: all its
@@ -32,8 +36,8 @@ from .common import arrow_batches, components, pick, table, without_ids
 from .textvec import chunks, mix, words
 
 BUDGET = 22  # of 128 bits
-BLOCKS, WIDTH = 32, 4
-NODE = 100_000  # fingerprints that a task's sub-trie may have, about
+NODE = 500_000  # fingerprints that a node of a trie may have before it is split
+TOP = (6, 12, 18)  # bits of a split at most
 LEAF, FRONT = 64, 400_000  # pairs of leaves compared at once; node pairs expanded at once
 LANES = np.uint64(0x0101010101010101)
 
@@ -79,24 +83,71 @@ def rotate(high: np.ndarray, low: np.ndarray, by: int) -> tuple[np.ndarray, np.n
     return (high << a) | (low >> b), (low << a) | (high >> b)
 
 
-def limits(budget: int = BUDGET) -> np.ndarray:
-    """Differing bits allowed at each depth 0 to 128."""
-    depth = np.arange(129)
-    return (-(-depth // WIDTH) * budget) // BLOCKS
+def blocks(budget: int = BUDGET) -> list[int]:
+    """Widths of the blocks that the 128 bits are cut into."""
+    n = min(budget + 1, 128)
+    return [(i + 1) * 128 // n - i * 128 // n for i in range(n)]
+
+
+def turns(budget: int = BUDGET) -> list[int]:
+    """Bits by which each rotation is turned."""
+    return np.cumsum([0, *blocks(budget)[:-1]]).tolist()
+
 
+def limits(turn: int = 0, budget: int = BUDGET) -> np.ndarray:
+    """Differing bits allowed at each depth 0 to 128 of a rotation."""
+    w = blocks(budget)
+    begun = np.concatenate(([0], np.repeat(np.arange(1, len(w) + 1), w[turn:] + w[:turn])))
+    return begun * budget // len(w)
 
-def patterns(depth: int, budget: int = BUDGET) -> list[int]:
+
+def tops(turn: int, budget: int = BUDGET) -> list[int]:
+    """Depths at which a rotation's trie can be split."""
+    w = blocks(budget)
+    return [min(d, most) for d, most in zip(np.cumsum([*w[turn:], *w[:turn]][:3]).tolist(), TOP)]
+
+
+def patterns(depth: int, turn: int = 0, budget: int = BUDGET) -> list[int]:
     """Differences of two prefixes of ``depth`` bits that the budget allows on the whole way down."""
-    most, found = limits(budget), [0]
+    most, found = limits(turn, budget), [0]
     for d in range(1, depth + 1):
         found = [y for x in found for y in (2 * x, 2 * x + 1) if y.bit_count() <= most[d]]
     return found
 
 
-def trie_pairs(ah, al, bh, bl, same: bool, depth: int, spent: int, budget: int = BUDGET) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+class Forest:
+    """Components of n nodes; pairs are taken in as they are found, and kept no longer than until there are many."""
+
+    def __init__(self, n: int):
+        self.label, self.held, self.many = np.arange(n), [], 0
+        self.change = self.label
+
+    def take(self, i: np.ndarray, j: np.ndarray) -> None:
+        self.held.append((i, j))
+        self.many += len(i)
+        if self.many > max(20_000, len(self.label) // 4):
+            self.settle()
+
+    def settle(self) -> np.ndarray:
+        """The least member of each node's component."""
+        if self.many:
+            i, j = (np.concatenate(x) for x in zip(*self.held))
+            self.label = roots(len(self.label), self.label[i], self.label[j])[self.label]
+            self.change = np.cumsum(np.concatenate(([0], self.label[1:] != self.label[:-1])))
+        self.held, self.many = [], 0
+        return self.label
+
+    def apart(self, a0, a1, b0, b1) -> np.ndarray:
+        """Whether ranges of nodes aren't all of one component, as far as it is known."""
+        c, x = self.change, self.label
+        return (c[a0] != c[a1 - 1]) | (c[b0] != c[b1 - 1]) | (x[a0] != x[b0])
+
+
+def trie_pairs(ah, al, bh, bl, same: bool, depth: int, spent: int, turn: int = 0, budget: int = BUDGET, forest: Forest | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Indices of pairs within the budget, from two sorted arrays whose members share ``depth`` bits each, ``spent`` of
-    which differ; with ``same`` the arrays are one, and each pair comes once."""
-    most = limits(budget)
+    which differ; with ``same`` the arrays are one, and each pair comes once. Pairs that ``forest`` (over the nodes of the
+    first array and, unless they are one, of the second after them) has in one component can be left out."""
+    most, shift = limits(turn, budget), 0 if same else len(ah)
     if not len(ah) or not len(bh):
         return
     ones: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -143,6 +194,9 @@ def trie_pairs(ah, al, bh, bl, same: bool, depth: int, spent: int, budget: int =
     stack = [(depth, [one(0), one(len(ah)), one(0), one(len(bh)), one(spent)])]
     while stack:
         level, front = stack.pop()
+        if forest is not None and forest.change[-1] < len(forest.label) - 1:
+            new = forest.apart(front[0], front[1], front[2] + shift, front[3] + shift)
+            front = [x[new] for x in front]
         a0, a1, b0, b1, d = front
         done = ((a1 - a0) * (b1 - b0) <= LEAF) | (level == 128)
         for part in batches([x[done] for x in front]):
@@ -161,7 +215,7 @@ def trie_pairs(ah, al, bh, bl, same: bool, depth: int, spent: int, budget: int =
                 ok &= ~never  # the mirror image of the pair before
             kept.append([v[ok] for v in (x0, x1, y0, y1, e)])
         merged = [np.concatenate(v) for v in zip(*kept)]
-        for u in range(0, len(merged[0]), FRONT):
+        for u in reversed(range(0, len(merged[0]), FRONT)):  # a node with itself before others: they can be one group then
             stack.append((level + 1, [v[u : u + FRONT] for v in merged]))
 
 
@@ -181,58 +235,86 @@ def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _forest(group: pa.Table, depth: int, budget: int) -> pa.Table:
+def _forest(group: pa.Table, budget: int) -> pa.Table:
     """Edges that join the near copies below one pair of nodes."""
     node = int(group.column("node")[0].as_py())
+    turn, level, p, q = node >> 38, (node >> 36) & 3, (node >> 18) & 0x3FFFF, node & 0x3FFFF
+    depth = tops(turn, budget)[level]
     high, low = (group.column(c).to_numpy().view(np.uint64) for c in ("high", "low"))
     order = np.lexsort((low, high))
     high, low = high[order], low[order]
-    mask = (1 << depth) - 1
-    p, q = (node >> depth) & mask, node & mask
-    if p == q:
-        found = list(trie_pairs(high, low, high, low, True, depth, 0, budget))
-        shift = 0
-    else:
-        shift = int(np.searchsorted(high >> np.uint64(64 - depth), np.uint64(q)))
-        found = list(trie_pairs(high[:shift], low[:shift], high[shift:], low[shift:], False, depth, (p ^ q).bit_count(), budget))
-    i = np.concatenate([x for x, _ in found]) if found else np.empty(0, np.int64)
-    j = np.concatenate([y for _, y in found]) + shift if found else i
-    root = roots(len(high), i, j)
+    shift = 0 if p == q else int(np.searchsorted(high >> np.uint64(64 - depth), np.uint64(q)))
+    forest = Forest(len(high))
+    ah, al = (high, low) if p == q else (high[:shift], low[:shift])
+    for i, j in trie_pairs(ah, al, high[shift:], low[shift:], p == q, depth, (p ^ q).bit_count(), turn, budget, forest):
+        if len(i):
+            forest.take(i, j + shift)
+    root = forest.settle()
     member = np.flatnonzero(root != np.arange(len(high)))
     return pa.table({"a": group.column("rep").take(pa.array(order[member])), "b": group.column("rep").take(pa.array(order[root[member]]))})
 
 
-def depth_for(n: int) -> int:
-    """Top levels of the tries that are split over tasks."""
-    depth = WIDTH
-    while n >> depth > NODE and depth < 24:
-        depth += WIDTH
-    return depth
-
-
-def edges(unique: DataFrame, n: int, budget: int = BUDGET) -> DataFrame:
-    """Edges (a, b) of a spanning forest of the near copies among distinct fingerprints (high, low, rep)."""
-    depth = depth_for(n)
-    allowed = patterns(depth, budget)
+def _prefixes(batch: pa.RecordBatch, budget: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of the rotation, high, low) of a batch (high, low, ...)."""
+    h, lo = (batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in (0, 1))
+    for turn, by in enumerate(turns(budget)):
+        yield turn, *rotate(h, lo, by)
+
+
+def levels(unique: DataFrame, most: int = NODE, budget: int = BUDGET) -> np.ndarray:
+    """How deep each first node of each rotation is split (0 to 2), from the true counts of nodes."""
+    out = np.zeros((len(turns(budget)), 1 << TOP[0]), np.int8)
+    for level in range(len(TOP)):
+        now = out.copy()
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found: dict[int, np.ndarray] = {}
+            for b in batches:
+                for turn, x, _ in _prefixes(b, budget):
+                    first, depth = tops(turn, budget)[0], tops(turn, budget)[level]
+                    at = (x >> np.uint64(64 - depth)).astype(np.int64)
+                    if level:
+                        at = at[now[turn, at >> (depth - first)] == level]
+                    found[turn] = found.get(turn, 0) + np.bincount(at, minlength=1 << depth)
+            for turn, n in found.items():
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), turn)), pa.array(at >> (tops(turn, budget)[level] - tops(turn, budget)[0])), pa.array(at), pa.array(n[at])], ["turn", "first", "node", "n"])
+
+        full = unique.select("high", "low").mapInArrow(count, "turn bigint, first bigint, node bigint, n bigint").groupBy("turn", "first", "node").agg(F.sum("n").alias("n")).where(F.col("n") > most)
+        for turn, first in full.select("turn", "first").distinct().collect():  # first nodes: 64 a rotation at most
+            out[turn, first] = min(level + 1, len(TOP) - 1)
+        if (out == now).all() or level + 2 == len(TOP):
+            break
+    return out
+
+
+def edges(unique: DataFrame, n: int, budget: int = BUDGET, most: int = NODE) -> DataFrame:
+    """Edges (a, b) of a spanning forest of the near copies among n distinct fingerprints (high, low, rep)."""
+    deep = levels(unique, most, budget) if n > most else np.zeros((len(turns(budget)), 1 << TOP[0]), np.int8)
     kind = unique.schema["rep"].dataType
+    allowed = [[patterns(d, turn, budget) for d in tops(turn, budget)] for turn in range(len(turns(budget)))]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h, lo = (b.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in (0, 1))
-            for r in range(BLOCKS):
-                x, y = rotate(h, lo, r * WIDTH)
-                own = (x >> np.uint64(64 - depth)).astype(np.int64)
-                for e in allowed:
-                    other = own ^ e
-                    node = (r << (2 * depth)) | (np.minimum(own, other) << depth) | np.maximum(own, other)
-                    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), b.column(2)], ["node", "high", "low", "rep"])
+            for turn, x, y in _prefixes(b, budget):
+                first = tops(turn, budget)[0]
+                level_of = deep[turn, (x >> np.uint64(64 - first)).astype(np.int64)]
+                for level in np.unique(level_of).tolist():
+                    at = np.flatnonzero(level_of == level)
+                    own = (x[at] >> np.uint64(64 - tops(turn, budget)[level])).astype(np.int64)
+                    columns = [pa.array(x[at].view(np.int64)), pa.array(y[at].view(np.int64)), b.column(2).take(pa.array(at))]
+                    for e in allowed[turn][level]:
+                        other = own ^ e
+                        node = (turn << 38) | (level << 36) | (np.minimum(own, other) << 18) | np.maximum(own, other)
+                        yield pa.RecordBatch.from_arrays([pa.array(node), *columns], ["node", "high", "low", "rep"])
 
     wide = T.StructType([T.StructField("node", T.LongType()), T.StructField("high", T.LongType()), T.StructField("low", T.LongType()), T.StructField("rep", kind)])
-    tasks = max(2 * unique.sparkSession.sparkContext.defaultParallelism, n * BLOCKS * len(allowed) // 1_000_000)
+    rows = n * sum(max(len(allowed[turn][level]) for level in np.unique(deep[turn]).tolist()) for turn in range(len(allowed)))
+    tasks = max(2 * unique.sparkSession.sparkContext.defaultParallelism, rows // 1_000_000)
     spreaded = unique.select("high", "low", "rep").mapInArrow(spread, wide).repartition(tasks, "node")
 
     def forest(group: pa.Table) -> pa.Table:
-        return _forest(group, depth, budget)
+        return _forest(group, budget)
 
     return spreaded.groupBy("node").applyInArrow(forest, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 

@@ -72,34 +72,67 @@ def test_fingerprints_are_votes():
         assert (int(lo) << 64) | int(h) == plain_fingerprint(texts[i])
 
 
-@pytest.mark.parametrize("depth, budget", [(4, 22), (8, 22), (4, 8), (12, 30)])
-def test_trie_join_is_exact(depth, budget):
-    rng = np.random.default_rng(depth)
-    seeds = [int.from_bytes(rng.bytes(16), "big") for _ in range(60)]
-    words = set(seeds)
+def some_fingerprints(rng, n=60):
+    seeds = [int.from_bytes(rng.bytes(16), "big") for _ in range(n)]
+    out = set(seeds)
     for s in seeds:
         for _ in range(6):
-            words.add(s ^ sum(1 << int(b) for b in rng.choice(128, rng.integers(1, 34), replace=False)))
-    words = sorted(words)
-    high = np.array([w >> 64 for w in words], np.uint64)
-    low = np.array([w & (2**64 - 1) for w in words], np.uint64)
+            out.add(s ^ sum(1 << int(b) for b in rng.choice(128, rng.integers(1, 34), replace=False)))
+    out = sorted(out)
+    return out, np.array([w >> 64 for w in out], np.uint64), np.array([w & (2**64 - 1) for w in out], np.uint64)
+
+
+@pytest.mark.parametrize("level, budget", [(0, 22), (1, 22), (2, 22), (0, 8), (1, 8), (1, 30), (0, 1), (0, 0)])
+def test_trie_join_is_exact(level, budget):
+    words, high, low = some_fingerprints(np.random.default_rng(level + budget))
     want = {(i, j) for i, j in combinations(range(len(words)), 2) if (words[i] ^ words[j]).bit_count() <= budget}
     found = set()
-    for r in range(simhash.BLOCKS):
-        x, y = simhash.rotate(high, low, r * simhash.WIDTH)
+    assert sum(simhash.blocks(budget)) == 128
+    for turn, by in enumerate(simhash.turns(budget)):
+        x, y = simhash.rotate(high, low, by)
+        depth = simhash.tops(turn, budget)[level]
         own = (x >> np.uint64(64 - depth)).astype(int)
         for p in set(own.tolist()):
-            for e in simhash.patterns(depth, budget):
+            for e in simhash.patterns(depth, turn, budget):
                 q = p ^ e
                 if q < p or q not in own:
                     continue
                 a, b = (np.flatnonzero(own == z) for z in (p, q))
                 a, b = a[np.lexsort((y[a], x[a]))], b[np.lexsort((y[b], x[b]))]
-                for i, j in simhash.trie_pairs(x[a], y[a], x[b], y[b], p == q, depth, e.bit_count(), budget):
+                for i, j in simhash.trie_pairs(x[a], y[a], x[b], y[b], p == q, depth, e.bit_count(), turn, budget):
                     found |= {tuple(sorted(t)) for t in zip(a[i].tolist(), b[j].tolist())}
     assert found == want
 
 
+@pytest.mark.parametrize("most", [10**6, 40, 3])
+def test_split_nodes_find_the_same_groups(spark, most):
+    """Whole, split by one more block and by two: the first bits of many fingerprints are one, so their nodes are hot."""
+    rng = np.random.default_rng(most % 97)
+    words, _, _ = some_fingerprints(rng, 40)
+    words = sorted({w if i % 3 else w & ~(0x3FF << 118) for i, w in enumerate(words)})
+    high, low = (np.array([w >> k & (2**64 - 1) for w in words], np.uint64).view(np.int64) for k in (64, 0))
+    table = spark.createDataFrame(list(zip(high.tolist(), low.tolist(), range(len(words)))), "high bigint, low bigint, rep bigint")
+    deep = simhash.levels(table, most)
+    assert set(np.unique(deep).tolist()) == {10**6: {0}, 40: {0, 1, 2}, 3: {0, 1, 2}}[most]
+    found = {tuple(sorted(r)) for r in simhash.edges(table, len(words), most=most).collect()}
+    assert all((words[a] ^ words[b]).bit_count() <= 128 for a, b in found)
+    want = [(i, j) for i, j in combinations(range(len(words)), 2) if (words[i] ^ words[j]).bit_count() <= simhash.BUDGET]
+    root = lambda pairs: simhash.roots(len(words), *(np.array(x, int) for x in zip(*pairs))).tolist()
+    assert root(sorted(found)) == root(want)
+
+
+def test_a_group_of_thousands_is_not_compared_in_full():
+    rng = np.random.default_rng(3)
+    high = np.uint64(0x0123456789ABCDEF) ^ (np.uint64(1) << rng.integers(0, 50, 20_000).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 50, 20_000).astype(np.uint64))
+    low = np.uint64(1) << rng.integers(0, 64, 20_000).astype(np.uint64)
+    key = np.unique(np.stack((high, low)), axis=1)
+    forest, pairs = simhash.Forest(key.shape[1]), 0
+    for i, j in simhash.trie_pairs(key[0], key[1], key[0], key[1], True, 5, 0, forest=forest):
+        pairs += len(i)
+        forest.take(i, j)
+    assert not forest.settle().any() and pairs < key.shape[1] ** 2 / 20
+
+
 def brute_groups(texts):
     at, high, low = simhash.fingerprints(texts)
     near = np.bitwise_count(high[:, None] ^ high) + np.bitwise_count(low[:, None] ^ low).astype(int) <= simhash.BUDGET
