@@ -1,9 +1,14 @@
 """Exact dedup against immutable snapshots, screened by static binary-fuse filters.
 
-A snapshot is the distinct texts of an earlier batch. Its digests are split into buckets by hash, and each bucket gets a
-static 3-wise binary-fuse filter of 8-bit fingerprints, built once. Incoming digests meet only the filter of their
-bucket. What a filter passes joins the snapshot's exact bucket by digest, and the texts themselves are compared; what
-it doesn't pass is new. New texts that repeat within their own batch are grouped apart, also down to the text.
+A snapshot is an earlier batch that doesn't change any more. Its digests are split into buckets by hash, and each bucket
+gets a static 3-wise binary-fuse filter of 8-bit fingerprints, built once and kept with it: write_snapshot() stores rows,
+digests and filters, read_snapshot() loads them, and a batch can meet any number of snapshots. Incoming digests, each
+once, meet only the filter of their bucket. What a filter passes joins the snapshot's exact bucket by digest, and the
+texts themselves are compared; what it doesn't pass is new. New texts that repeat within their own batch are grouped
+apart, also down to the text.
+
+Copies are counted with partial sums before anything moves, so a text that a third of all rows have is one row a task; its
+rows meet the verdict by a broadcast of the digests that more than a thousandth of all rows have (a thousand at most).
 
 Null text: never a copy of anything. Empty text: a text as any other. Null doc_id: a row of its own; it may be a copy,
 but the copies' keeper is the least doc_id that isn't null. Repeated rows: each is listed. Ties can't arise, as
@@ -12,16 +17,21 @@ doc_id orders the keepers. Empty table, empty snapshot or batch: no rows, or non
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, pick, table
+from .common import arrow_batches, pick, shared_dir, table
 from .textvec import mix
 
 DIGESTS_A_BUCKET = 20_000  # a filter of some 25 kB
 FILTER_DIGESTS = 8_000_000  # repeated digests that may be sent as one filter: 9 MB
+SCREENED = 1_000_000  # incoming digests that are tested with one filter at once
+HOT = 1000  # a digest of more than so large a part of all rows is hot
 
 
 def _places(keys: np.ndarray, seed: int, segment: int, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -90,61 +100,118 @@ def snapshot_filters(digests: DataFrame, buckets: int) -> DataFrame:
     return digests.select(F.pmod("k", F.lit(buckets)).alias("bucket"), "k").groupBy("bucket").applyInPandas(make, "bucket bigint, seed int, segment int, segments int, data binary")
 
 
-def screen(incoming: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
-    """(doc_id, digest, k) with column ``maybe``: whether the filter of the key's bucket holds it."""
+def screen(incoming: DataFrame, filters: DataFrame, buckets: int, salts: int = 1) -> DataFrame:
+    """Distinct (digest, k) that the filter of the key's bucket holds. A bucket's keys are split by ``salts``."""
 
     def test(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        rows = rows[["doc_id", "digest", "k"]]
+        rows = rows[["digest", "k"]]
         if not len(own) or not len(rows):
-            return rows.assign(maybe=False)
+            return rows[:0]
         x = own.iloc[0]
-        return rows.assign(maybe=contains((int(x["seed"]), int(x["segment"]), int(x["segments"]), x["data"]), rows["k"].to_numpy().view(np.uint64)))
+        return rows[contains((int(x["seed"]), int(x["segment"]), int(x["segments"]), x["data"]), rows["k"].to_numpy().view(np.uint64))]
 
-    keyed = incoming.select("doc_id", "digest", "k", F.pmod("k", F.lit(buckets)).alias("bucket"))
-    key = incoming.schema["doc_id"].dataType.simpleString()
-    return keyed.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(test, f"doc_id {key}, digest binary, k bigint, maybe boolean")
+    keyed = incoming.select("digest", "k", F.pmod("k", F.lit(buckets)).alias("bucket"), F.pmod(F.xxhash64("k"), F.lit(salts)).alias("salt"))
+    each = filters.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(salts)]).cast("array<bigint>")))
+    return keyed.groupBy("bucket", "salt").cogroup(each.groupBy("bucket", "salt")).applyInPandas(test, "digest binary, k bigint")
 
 
 def _digests(docs: DataFrame) -> DataFrame:
     return docs.where("text is not null").select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"), F.xxhash64("text").alias("k"))
 
 
+@dataclass(frozen=True)
+class Snapshot:
+    """rows (doc_id, text), store (digest, k, n: each digest and its rows), filters by bucket."""
+
+    rows: DataFrame
+    store: DataFrame
+    filters: DataFrame
+    buckets: int
+
+
+def write_snapshot(docs: DataFrame, path: str, digests_a_bucket: int = DIGESTS_A_BUCKET) -> Snapshot:
+    """Stores a batch (columns doc_id, text) as a snapshot at ``path``; its filters are built once, here."""
+    arrow_batches(docs.sparkSession)
+    own = pick(docs, "doc_id", "text")
+    own.write.parquet(f"{path}/rows")
+    return _finished(docs.sparkSession.read.schema(own.schema).parquet(f"{path}/rows"), path, digests_a_bucket)
+
+
+def _finished(rows: DataFrame, path: str, digests_a_bucket: int) -> Snapshot:
+    spark = rows.sparkSession
+    _digests(rows).groupBy("digest").agg(F.min("k").alias("k"), F.count("*").alias("n")).write.parquet(f"{path}/store")
+    store = spark.read.schema(STORE).parquet(f"{path}/store")
+    buckets = max(1, -(-store.count() // digests_a_bucket))
+    snapshot_filters(store, buckets).withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/filters")
+    return Snapshot(rows, store, spark.read.schema(FILTERS).parquet(f"{path}/filters"), buckets)
+
+
+STORE = "digest binary, k bigint, n bigint"
+FILTERS = "bucket bigint, seed int, segment int, segments int, data binary, buckets int"
+
+
+def read_snapshot(spark, path: str) -> Snapshot:
+    """What write_snapshot() stored; no filter is built again."""
+    filters = spark.read.schema(FILTERS).parquet(f"{path}/filters")
+    first = filters.select("buckets").first()
+    return Snapshot(spark.read.parquet(f"{path}/rows"), spark.read.schema(STORE).parquet(f"{path}/store"), filters, first[0] if first else 1)
+
+
 def dedup(snapshot: DataFrame, batch: DataFrame, digests_a_bucket: int = DIGESTS_A_BUCKET, filter_digests: int = FILTER_DIGESTS) -> DataFrame:
     """doc_id, keep_id, kind for the rows of both tables (columns doc_id, text).
 
     kind: 'kept', 'copy_of_snapshot' (a batch text that the snapshot has) or 'copy_in_batch' (a text that an earlier row
     of the same table has, with no copy in the snapshot). keep_id: the doc_id that stays for this text.
     """
-    old, new = pick(snapshot, "doc_id", "text"), pick(batch, "doc_id", "text")
-    first, later = table(_digests(old)), table(_digests(new))
-    store = table(first.groupBy("digest").agg(F.min("k").alias("k"), F.min("doc_id").alias("keep"), F.count("*").alias("n")))
-    buckets = max(1, -(-store.count() // digests_a_bucket))
-    filters = table(snapshot_filters(store, buckets))
-    screened = table(screen(later, filters, buckets))
-    known = screened.where("maybe").join(store.select(F.col("digest").alias("d"), F.col("keep").alias("old_keep")), F.col("digest") == F.col("d")).groupBy("digest").agg(F.min("old_keep").alias("old_keep"))
-    fresh = screened.groupBy("digest").agg(F.min("k").alias("k"), F.count("*").alias("n"))
-    repeated = (
-        fresh.join(known, "digest", "left").where("n > 1 or old_keep is not null").select("digest", "k")
-        .unionByName(store.where("n > 1").select("digest", "k")).distinct()
-    )
-    repeated = table(repeated)
-    # byte check: only rows whose digest repeats move with their texts; copies are equal texts, whatever the digests say
-    rows = old.withColumn("late", F.lit(False)).unionByName(new.withColumn("late", F.lit(True)))
-    rows = rows.withColumn("k", F.xxhash64("text"))
-    suspects, alone = _split(rows, repeated, filter_digests)
-    w = Window.partitionBy("digest", "text")
-    moved = suspects.withColumn("digest", F.unhex(F.sha2("text", 256))).repartition("digest")
-    judged = moved.select(
-        "doc_id", "late",
-        F.coalesce(F.min(F.when(~F.col("late"), F.col("doc_id"))).over(w), F.min("doc_id").over(w)).alias("keep"),
-        F.max(~F.col("late")).over(w).alias("stored"),
+    arrow_batches(batch.sparkSession)
+    path = f"{shared_dir(batch.sparkSession).rstrip('/')}/snapshot-{uuid.uuid4().hex}"
+    return _judged([_finished(pick(snapshot, "doc_id", "text"), path, digests_a_bucket)], batch, filter_digests, True)
+
+
+def against(snapshots: list[Snapshot], batch: DataFrame, filter_digests: int = FILTER_DIGESTS) -> DataFrame:
+    """As dedup(), for the rows of a batch alone; a text's keeper is in the first snapshot that has it."""
+    arrow_batches(batch.sparkSession)
+    return _judged(snapshots, batch, filter_digests, False)
+
+
+def _judged(snapshots: list[Snapshot], batch: DataFrame, filter_digests: int, all_rows: bool) -> DataFrame:
+    new, last = pick(batch, "doc_id", "text"), len(snapshots)
+    fresh = table(_digests(new).groupBy("digest").agg(F.min("k").alias("k"), F.count("*").alias("n")))
+    n_fresh = fresh.count()
+    repeated = fresh.where("n > 1").select("digest", "k")
+    for x in snapshots:
+        maybe = screen(fresh, x.filters, x.buckets, -(-n_fresh // (x.buckets * SCREENED)) or 1)
+        repeated = repeated.unionByName(maybe.join(x.store.select("digest"), "digest", "left_semi"))
+        if all_rows:
+            repeated = repeated.unionByName(x.store.where("n > 1").select("digest", "k"))
+    repeated = table(repeated.distinct())
+    # byte check: only texts whose digest repeats move, each once a task; copies are equal texts, whatever the digests say
+    rows = new.withColumn("age", F.lit(last))
+    for i, x in enumerate(snapshots):
+        rows = rows.unionByName(x.rows.withColumn("age", F.lit(i)))
+    suspects, alone = _split(rows.withColumn("k", F.xxhash64("text")), repeated, filter_digests)
+    suspects = suspects.withColumn("digest", F.unhex(F.sha2("text", 256)))
+    groups = suspects.groupBy("digest", "text").agg(
+        F.min(F.when(F.col("doc_id").isNotNull(), F.struct("age", "doc_id")))["doc_id"].alias("keep"), F.min("age").alias("oldest"), F.count("*").alias("n")
     )
-    out = judged.unionByName(alone.select("doc_id", "late", F.col("doc_id").alias("keep"), F.lit(False).alias("stored")))
-    alone_now = F.col("keep").isNull() | F.col("keep").eqNullSafe(F.col("doc_id"))
+    groups = table(groups.withColumn("h", F.xxhash64("text")))
+    clash = table(groups.groupBy("digest").agg(F.count("*").alias("texts"), F.sum("n").alias("n")).where("texts > 1").select("digest"))  # one digest, several texts
+    listed = suspects if all_rows else suspects.where(F.col("age") == last)
+    verdicts = groups.join(clash, "digest", "left_anti").select("digest", "keep", "oldest", "n")
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(verdicts.where(F.col("n") > total / HOT).drop("n"))  # HOT rows at most
+    narrow = listed.select("doc_id", "age", "digest")
+    cold = narrow.join(F.broadcast(hot.select("digest")), "digest", "left_anti")
+    apart = listed.join(clash, "digest", "left_semi").join(groups.select("digest", "text", "keep", "oldest"), ["digest", "text"])
+    columns = ("doc_id", "age", "keep", "oldest")
+    out = narrow.join(hot, "digest").select(*columns).unionByName(cold.join(verdicts.where(F.col("n") <= total / HOT), "digest").select(*columns)).unionByName(apart.select(*columns))
+    alone = alone if all_rows else alone.where(F.col("age") == last)
+    out = out.unionByName(alone.select("doc_id", "age", F.col("doc_id").alias("keep"), F.col("age").alias("oldest")))
+    stays = F.col("keep").isNull() | ((F.col("keep").eqNullSafe(F.col("doc_id"))) & (F.col("oldest") == F.col("age")))
     return out.select(
         "doc_id",
         F.coalesce("keep", "doc_id").alias("keep_id"),
-        F.when(alone_now, "kept").when(F.col("late") & F.col("stored"), "copy_of_snapshot").otherwise("copy_in_batch").alias("kind"),
+        F.when(stays, "kept").when((F.col("age") == last) & (F.col("oldest") < last), "copy_of_snapshot").otherwise("copy_in_batch").alias("kind"),
     )
 
 
@@ -160,10 +227,10 @@ def _split(rows: DataFrame, repeated: DataFrame, most: int) -> tuple[DataFrame,
             return pd.Series(contains(sent.value, k.to_numpy().view(np.uint64)) if sent.value else np.zeros(len(k), bool))
 
         marked = rows.withColumn("again", repeats("k") & F.col("text").isNotNull())
-        return marked.where("again").drop("again"), marked.where("not again").drop("again", "text")
+        return marked.where("again").drop("again", "k"), marked.where("not again").drop("again", "text", "k")
     held = repeated.select(F.col("k").alias("rk")).distinct()
     again = (F.col("k") == F.col("rk")) & F.col("text").isNotNull()
-    return rows.join(held, again, "left_semi"), rows.join(held, again, "left_anti").drop("text")
+    return rows.join(held, again, "left_semi").drop("k"), rows.join(held, again, "left_anti").drop("text", "k")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
