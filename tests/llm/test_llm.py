@@ -374,7 +374,7 @@ def brute_lines(texts):
 
     mask = lambda line: " ".join("<*>" if re.search("[0-9]", t) else t for t in line.split())
     leaves, where = defaultdict(set), defaultdict(set)
-    for d, t in enumerate(texts):
+    for d, t in enumerate(dict.fromkeys(texts)):  # copies of one text are one document
         for line in (t or "").split("\n"):
             if m := mask(line):
                 leaves[len(m.split()), tuple(m.split()[: linededup.LEAD])].add(m)
@@ -411,6 +411,50 @@ def test_line_dedup(spark):
         assert "Page" not in "".join(x or "" for x in want) and got[43].n_dropped == 1 and got[40].n_lines is None
 
 
+def test_copies_are_no_template(spark):
+    texts = ["one text alone\nof two lines here"] * 5 + ["another\nshared by all of them", "third\nshared by all of them", "last\nshared by all of them"]
+    got = {r.doc_id: r.text for r in linededup.cleaned(docs(spark, texts)).collect()}
+    assert got == dict(enumerate([texts[0]] * 5 + ["another", "third", "last"]))
+
+
+def plain_templates(lines):
+    made, at = [], []
+    for line in lines:
+        w = line.split(" ")
+        agree = [sum(a == b for a, b in zip(t, w)) for t in made]
+        if agree and max(agree) >= linededup.SIMILAR * len(w):
+            at.append(agree.index(max(agree)))
+            made[at[-1]][:] = [a if a == b else None for a, b in zip(made[at[-1]], w)]
+        else:
+            made.append(w)
+            at.append(len(made) - 1)
+    return at
+
+
+@pytest.mark.parametrize("n, kinds", [(4, 3), (5, 3), (9, 4), (12, 6), (23, 30)])
+def test_templates_of_a_large_leaf_are_the_plain_ones(n, kinds):
+    rng = np.random.default_rng(n)
+    base = [["a", "b", "c", *(f"{'xyz'[i % 3]}{t}" for i, t in enumerate(rng.integers(0, kinds, n - 3)))] for _ in range(60)]
+    lines = sorted({" ".join(w if i < 3 or rng.random() > 0.12 else f"v{rng.integers(0, 3)}" for i, w in enumerate(base[rng.integers(0, 60)])) for _ in range(900)})
+    assert linededup.templates(lines, lead=3)[0] == plain_templates(lines)
+
+
+def test_one_leaf_of_100_000_lines(spark):
+    import time
+
+    rng = np.random.default_rng(22)
+    vocabulary = np.array([f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in "lmnrs"])
+    lines = sorted({"the same start " + " ".join(x) for x in vocabulary[rng.integers(0, len(vocabulary), (100_000, 12))]})
+    began = time.time()
+    at, _ = linededup.templates(lines, lead=3)
+    assert time.time() - began < 60 and len(set(at)) > 0.99 * len(lines)
+    # a hot leaf is split and put together again: what recurs is found, what doesn't stays
+    shared = [f"the same start of a notice that has the {w} word in it" for w in "red blue green white black".split()]
+    texts = ["\n".join([*lines[3 * i : 3 * i + 3], shared[i % 5]]) for i in range(400)]
+    got = linededup.cleaned(docs(spark, texts), leaf=150).collect()
+    assert [r.text for r in sorted(got, key=lambda r: r.doc_id)] == ["\n".join(t.split("\n")[:3]) for t in texts]
+
+
 # 6 ----------------------------------------------------------------------------------------------------------------------
 
 
@@ -433,6 +477,42 @@ def test_exact_dedup(spark, limit):
     assert got == {0: (0, "kept"), 1: (1, "kept"), 2: (0, batch), 3: (3, "kept"), 4: (4, "kept"), 10: (1, snap), 11: (11, "kept"), 12: (11, batch), 13: (13, "kept"), 14: (4, snap), 15: (15, "kept"), 16: (11, batch)}
 
 
+def brute_exact(old, new):
+    """(keep_id, kind) by doc_id of rows (doc_id, text)."""
+    out, first = {}, {}
+    for late, rows in enumerate((old, new)):
+        for d, t in sorted(rows, key=lambda r: r[0]):
+            if t is not None:
+                first.setdefault(t, (late, d))
+            keep = (late, d) if t is None else first[t]
+            out[d] = (keep[1], "kept" if keep == (late, d) else "copy_of_snapshot" if late and not keep[0] else "copy_in_batch")
+    return out
+
+
+def test_a_text_that_most_rows_have(spark):
+    rng = np.random.default_rng(21)
+    texts = [EN if x < 0.4 else FR if x < 0.41 else f"text {rng.integers(0, 30_000)}" for x in rng.random(100_000)]
+    df = docs(spark, texts)
+    got = {r.doc_id: (r.keep_id, r.kind) for r in exactdedup.dedup(df.where("doc_id < 30000"), df.where("doc_id >= 30000")).collect()}
+    assert got == brute_exact(list(enumerate(texts[:30_000])), list(enumerate(texts[30_000:], 30_000)))
+
+
+def test_snapshots_are_kept(spark, tmp_path, monkeypatch):
+    old, older, new = ["a", "b", "a", None], ["c", "b", ""], ["b", "c", "x", "x", "a", None, ""]
+    made = [exactdedup.write_snapshot(docs(spark, t, start=s), str(tmp_path / str(s)), 2) for t, s in ((older, 100), (old, 200))]
+    assert made[0].buckets == 2
+    monkeypatch.setattr(exactdedup, "snapshot_filters", None)
+    loaded = [exactdedup.read_snapshot(spark, str(tmp_path / str(s))) for s in (100, 200)]
+    assert [x.buckets for x in loaded] == [x.buckets for x in made] and loaded[0].filters.collect() == made[0].filters.collect()
+    got = {r.doc_id: (r.keep_id, r.kind) for r in exactdedup.against(loaded, docs(spark, new)).collect()}
+    snap = "copy_of_snapshot"
+    assert got == {0: (101, snap), 1: (100, snap), 2: (2, "kept"), 3: (2, "copy_in_batch"), 4: (200, snap), 5: (5, "kept"), 6: (102, snap)}
+    monkeypatch.undo()
+    empty = exactdedup.write_snapshot(docs(spark, []), str(tmp_path / "empty"))
+    assert {r.kind for r in exactdedup.against([empty], docs(spark, ["a", "b"])).collect()} == {"kept"}
+    assert exactdedup.read_snapshot(spark, str(tmp_path / "empty")).buckets == 1
+
+
 # 7 ----------------------------------------------------------------------------------------------------------------------
 
 
