@@ -5,6 +5,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from lexiloom.llm import common, decontam, exactdedup, htmlextract, langid, linededup, lmscore, mixing, sharding, simhash, textvec, tokencounts
@@ -185,7 +186,8 @@ def test_wrappers_and_extraction(spark):
     assert got[1].text == "one\ntwo & bold" and got[2].text == "three\nnote\nmore" and got[6].text == "one"
     assert got[3].text == "alone" and got[4].text is None and got[4].n_fields == 0
     w = htmlextract.wrappers(htmlextract._hosts(df)).where("host = 'a.com'").collect()
-    assert htmlextract.expression(htmlextract.load(w[0].wrapper)) == "<html><body><h1>#</><ul>(<li>#</>)+</>(<p>#</>)*<div.ad>#</></></>"
+    own = htmlextract.Wrappers()
+    assert own.expression(own.load(w[0].wrapper)) == "<html><body><h1>#</><ul>(<li>#</>)+</>(<p>#</>)*<div.ad>#</></></>"
     joined = {r.page_id: r.text for r in htmlextract.extract(df, send=0).collect()}
     assert joined == {k: r.text for k, r in got.items()}
     assert {r.page_id: r.text for r in htmlextract.extract(spark.createDataFrame(rows, df.drop("URL2").schema).repartition(5)).collect()}[5] == ""
@@ -193,24 +195,125 @@ def test_wrappers_and_extraction(spark):
 
 def test_alignment_covers_both():
     rng = np.random.default_rng(2)
-    tags = "abcde"
+    own = htmlextract.Wrappers()
 
     def tree(depth):
-        return tuple(htmlextract.folded([(False, False, str(rng.choice(list(tags))), tree(depth - 1) if depth else ()) for _ in range(rng.integers(0, 5))]))
+        return [[str(rng.choice(list("abc"))), tree(depth - 1) if depth else []] for _ in range(rng.integers(0, 7))]
+
+    def plain(page):
+        return "".join(f"<{x}>{plain(y)}</>" for x, y in page)
+
+    def pattern(wrapper):
+        out = ""
+        for k in wrapper:
+            o, r, symbol, kids = own.nodes[k]
+            body = pattern(kids) if symbol[0] == "(" else f"<{symbol}>{pattern(kids)}</>"
+            out += f"(?:{body}){'*' if o and r else '?' if o else '+' if r else ''}"
+        return out
+
+    seen = set()
+    for _ in range(600):
+        pages = [tree(2) for _ in range(3)]
+        a, b, c = map(own.skeleton, pages)
+        w = own.align(own.align(a, b), c)
+        assert own.load(own.dump(w)) == w
+        for p in pages:
+            assert regex.fullmatch(pattern(w), plain(p))
+        seen |= {own.covers(w, x) for x in (a, b, c)}
+    assert True in seen
+
+
+def said(html):
+    own = htmlextract.Wrappers()
+    return own.expression(own.skeleton(htmlextract.parse(html)))
+
+
+def test_repeated_groups():
+    assert said("<p>a</p><p>b</p>") == "(<p>#</>)+"
+    assert said("<dl>" + "<dt>a<dd>b" * 3 + "</dl>") == "<dl>(<dt>#</><dd>#</>)+</>"
+    assert said("<h2>a</h2><p>x</p><p>y</p><h2>b</h2><p>z</p>") == "(<h2>#</>(<p>#</>)+)+"
+    assert said("<a></a><hr><br>" * 2 + "<a></a>") == "(<a></><hr></><br></>)+<a></>"
+    own = htmlextract.Wrappers()
+    one, many = (own.skeleton(htmlextract.parse("<dl>" + "<dt>a<dd>b" * n + "</dl>")) for n in (1, 4))
+    for x, y in ((one, many), (many, one)):
+        assert own.expression(own.align(x, y)) == "<dl>(<dt>#</><dd>#</>)+</>" and own.covers(own.align(x, y), x) and own.covers(own.align(x, y), y)
+    page = htmlextract.parse("<dl><dt>a<dd>b<dt>c<dd>d</dl><p>e")
+    assert own.read(own.align(own.skeleton(page), one), page) == [("/0/0/0", "a"), ("/0/1/0", "b"), ("/0/0/0", "c"), ("/0/1/0", "d"), ("/1/0", "e")]
+
+
+def plain_common(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+@pytest.mark.parametrize("cells", [htmlextract.CELLS, 60])
+def test_common_subsequences_against_brute_force(monkeypatch, cells):
+    monkeypatch.setattr(htmlextract, "CELLS", cells)
+    rng = np.random.default_rng(23)
+    for _ in range(300):
+        a, b = (rng.integers(0, rng.integers(1, 6), rng.integers(0, 25)).tolist() for _ in range(2))
+        got = htmlextract.common(a, b)
+        assert all(a[i] == b[j] for i, j in got) and len(got) == plain_common(a, b)
+        assert all(x < u and y < v for (x, y), (u, v) in zip(got, got[1:]))
+
+
+def test_long_pages_align_fast():
+    import time
 
-    for _ in range(150):
-        a, b = tree(2), tree(2)
-        w = htmlextract.align(a, b)
-        assert htmlextract.covers(w, w) and {x[2] for x in w} == {x[2] for x in (*a, *b)}
-    one = htmlextract.skeleton(htmlextract.parse("<p>a</p><p>b</p>"))
-    assert htmlextract.expression(one) == "(<p>#</>)+"
+    rng = np.random.default_rng(24)
+    began, own = time.time(), htmlextract.Wrappers()
+    a, b = (own.skeleton(htmlextract.parse("".join(f"<t{x}>w</t{x}>" for x in rng.integers(0, 400, 4000)))) for _ in range(2))
+    w = own.align(a, b)
+    assert len(w) > 4000 and time.time() - began < 30
+    assert said("<dl>" + "<dt>a<dd>b" * 10_000 + "</dl>") == "<dl>(<dt>#</><dd>#</>)+</>"
+
+
+def test_extraction_does_not_depend_on_the_order(spark):
+    rng = np.random.default_rng(25)
+    tags = ["h2", "p", "ul", "table", "section"]
+    rows = [(i, f"http://h{i % 3}.org/{i}", "".join(f"<{t}>{t if rng.random() < 0.3 else rng.integers(0, 99)}</{t}>" for t in rng.choice(tags, rng.integers(1, 7)))) for i in range(60)]
+    kind = "page_id bigint, url string, html string"
+    want = htmlextract.extract(spark.createDataFrame(rows, kind).coalesce(1)).orderBy("page_id").collect()
+    assert htmlextract.extract(spark.createDataFrame(rows[::-1], kind).repartition(7)).orderBy("page_id").collect() == want
+    # brute force: a text is template only if its slot has it in every page of the host
+    pages, has, texts = Counter(r.host for r in want), defaultdict(set), defaultdict(set)
+    own = htmlextract.Wrappers()
+    found = {r.host: own.load(r.wrapper) for r in htmlextract.wrappers(htmlextract._hosts(spark.createDataFrame(rows, kind))).collect()}
+    for (i, _, html), r in zip(rows, want):
+        for slot, text in own.read(found[r.host], htmlextract.parse(html)):
+            has[r.host, slot].add(i)
+            texts[r.host, slot].add(text)
+    for (i, _, html), r in zip(rows, want):
+        left = [t for s, t in own.read(found[r.host], htmlextract.parse(html)) if len(has[r.host, s]) < pages[r.host] or len(texts[r.host, s]) > 1]
+        assert r.text == "\n".join(left) and [f.text for f in r.fields] == left
+
+
+def test_template_slots_are_counted_by_pages(spark):
+    rows = [(1, "http://a.org/1", "<ul><li>x<li>x</ul>"), (2, "http://a.org/2", "<p>hello</p>"), (3, "http://b.org/", "<p>one</p>"), (3, "http://b.org/", "<p>one</p>"), (None, None, "<p>y</p>"), (5, "", "<p>y</p><p>z</p>")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert sorted((r.page_id or 0, r.text) for r in htmlextract.extract(df).collect()) == [(0, "y"), (1, "x\nx"), (2, "hello"), (3, "one"), (3, "one"), (5, "y\nz")]
+
+
+def test_odd_pages(spark):
+    deep = "<div>" * 5000 + "x" + "<p>y"
+    rows = [(1, "http://a.org", None), (None, "http://a.org", ""), (2, "http://a.org", deep), (2, "http://a.org", deep), (3, None, "a" * 100_000), (4, "http://a.org", "<p>q")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").select("*", F.lit(1).alias("HTML "), F.lit(2).alias("_0"), F.lit(3).alias("host"), F.lit(4).alias("wrapper"), F.lit("z").alias("page"))
+    got = Counter((r.page_id, r.text) for r in htmlextract.extract(df).collect())
+    assert got == Counter({(1, None): 1, (None, ""): 1, (2, "x\ny"): 2, (3, "a" * 100_000): 1, (4, "q"): 1})
+    assert htmlextract.extract(df.limit(0)).count() == 0
+    twice = df.select("page_id", "url", "html").toDF("page_id", "url", "html").withColumn("extra", F.lit(1)).toDF("page_id", "url", "html", "HTML")
+    assert htmlextract.extract(twice).count() == 6
 
 
 def test_deep_and_broken_html():
     assert len(htmlextract.parse("<div>" * 5000 + "x")) == 1
-    assert htmlextract.skeleton(htmlextract.parse("<div>" * 5000 + "x"))
+    own = htmlextract.Wrappers()
+    assert own.expression(own.skeleton(htmlextract.parse("<div>" * 50_000 + "x"))).count("<div>") == 50_000
     for s in ("<", "<a", "</", "a<b", "<!--", "<p class='", "<script>x", "&#x;&zzz;", "</p></div>"):
-        htmlextract.skeleton(htmlextract.parse(s))
+        own.skeleton(htmlextract.parse(s))
 
 
 # 3 ----------------------------------------------------------------------------------------------------------------------
