@@ -21,8 +21,8 @@ columns are left out.
 from __future__ import annotations
 
 import base64
+import ctypes
 import functools
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +35,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import arrow_batches, pick, table
 from .textvec import chunks
-from .tokencounts import BLANK, PATTERN, VOCABULARY
+from .tokencounts import PATTERN, VOCABULARY
 
 WINDOW, STRIDE, DIM, SLOTS, CLASSES, SINGLE = 32, 24, 16, 4096, 64, 40
 ROUNDS, BATCH, RATE = 2, 128, 0.01
@@ -43,32 +43,31 @@ SMALL = 256  # windows worked on at once in scoring
 BYTES = 120_000  # of ids
 VOCAB, BOS = 50_257, 50_256
 SHAPES = {"E": (SLOTS, DIM), "P": (WINDOW, DIM), "Q": (DIM, DIM), "K": (DIM, DIM), "V": (DIM, DIM), "O": (DIM, DIM), "U": (DIM, CLASSES), "b": (CLASSES,)}
-UNITS_KEPT = 400_000
 
 
 class Encoder:
-    """Ids of texts; blank-delimited units are encoded on their own, as the pre-tokeniser never looks across, and kept."""
+    """Ids of texts."""
 
     def __init__(self, path: str = VOCABULARY):
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.units = re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")
-        self.kept: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
         """Ids as 16-bit integers."""
-        kept, parts = self.kept, []
-        for u in self.units.findall(text):
-            x = kept.get(u)
-            if x is None:
-                x = np.array(self.encode(u), np.uint16).tobytes()
-                if len(u) <= 64:
-                    if len(kept) >= UNITS_KEPT:
-                        kept.clear()
-                    kept[u] = x
-            parts.append(x)
-        return b"".join(parts)
+        return np.array(self.encode(text), np.uint16).tobytes()
+
+
+@functools.cache
+def steady_memory() -> None:
+    """Has the C library keep freed memory in this worker: it would go back to the system with each large array, and
+    getting it again costs as much as some of the arithmetic. Without such a library, nothing changes."""
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 30)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 29)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):
+        pass
 
 
 @functools.cache
@@ -147,20 +146,23 @@ def _exp(a: np.ndarray) -> np.ndarray:
     return np.exp(a, out=a)
 
 
-def target_logp(p: dict, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """As forward(), for one class a place: masks by product, and divides sums and not whole matrices."""
+def target_logp(p: dict, x: np.ndarray, y: np.ndarray, begin: int = 0) -> np.ndarray:
+    """As forward(), for one class a place, from place ``begin`` of each window on: masks by product, and divides sums and
+    not whole matrices."""
+    rows = WINDOW - begin
     e = p["E"][x] + p["P"]
-    w = e.reshape(-1, DIM) @ np.concatenate((p["Q"] * np.float32(DIM**-0.5), p["K"], p["V"]), 1)
-    w = w.reshape(len(x), WINDOW, 3 * DIM)
+    kv = (e.reshape(-1, DIM) @ np.concatenate((p["K"], p["V"]), 1)).reshape(len(x), WINDOW, 2 * DIM)
+    own = e[:, begin:].reshape(-1, DIM)
+    q = (own @ (p["Q"] * np.float32(DIM**-0.5))).reshape(len(x), rows, DIM)
     v = np.ones((len(x), WINDOW, DIM + 1), np.float32)
-    v[:, :, :DIM] = w[:, :, 2 * DIM :]
-    a = np.matmul(w[:, :, :DIM], w[:, :, DIM : 2 * DIM].transpose(0, 2, 1), out=_scratch("a", (len(x), WINDOW, WINDOW), w.dtype))
+    v[:, :, :DIM] = kv[:, :, DIM:]
+    a = np.matmul(q, kv[:, :, :DIM].transpose(0, 2, 1), out=_scratch("a", (len(x), rows, WINDOW), q.dtype))
     if a.max(initial=0) > 60 or a.min(initial=0) < -60:
-        a += MASK
+        a += MASK[begin:]
     a = _exp(a)
-    a *= KEEP
+    a *= KEEP[begin:]
     z = (a @ v).reshape(-1, DIM + 1)
-    r = e.reshape(-1, DIM) + (z[:, :DIM] / z[:, DIM:]) @ p["O"]
+    r = own + (z[:, :DIM] / z[:, DIM:]) @ p["O"]
     logit = np.matmul(r, p["U"], out=_scratch("logit", (len(r), CLASSES), r.dtype))
     logit += p["b"]
     if logit.max(initial=0) > 60:
@@ -277,13 +279,15 @@ def score(p: dict, cls: np.ndarray, share: np.ndarray, docs: list[np.ndarray]) -
     doc = np.repeat(np.arange(len(docs)), n)
     turn = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
     place = (turn * STRIDE)[:, None] + np.arange(WINDOW)
-    new = (place < size[doc][:, None]) & ((turn[:, None] == 0) | (np.arange(WINDOW) >= WINDOW - STRIDE))
-    at = np.minimum(start[doc][:, None] + place, len(ids) - 1)
-    for u in range(0, len(doc), SMALL):
-        part, use = at[u : u + SMALL], new[u : u + SMALL]
-        seen = part.ravel()
-        value = target_logp(p, x[part], y[seen]) + share[ids[seen]]
-        total -= np.bincount(np.repeat(doc[u : u + SMALL], WINDOW)[use.ravel()], value[use.ravel()], len(docs))
+    for begin in (0, WINDOW - STRIDE):  # a document's first window is scored whole, of the others only what is new
+        own = np.flatnonzero((turn == 0) == (begin == 0))
+        for u in range(0, len(own), SMALL):
+            part = own[u : u + SMALL]
+            there = place[part, begin:] < size[doc[part]][:, None]
+            at = np.minimum(start[doc[part]][:, None] + place[part], len(ids) - 1)
+            seen = at[:, begin:].ravel()
+            value = target_logp(p, x[at], y[seen], begin) + share[ids[seen]]
+            total -= np.bincount(np.repeat(doc[part], WINDOW - begin)[there.ravel()], value[there.ravel()], len(docs))
     return total
 
 
@@ -342,6 +346,7 @@ def _fit(gathered: DataFrame, rounds: int) -> tuple[dict, np.ndarray, np.ndarray
                 if len(left):
                     yield left
 
+            steady_memory()
             start, known = now.value
             done, seen = train(unflat(start), windows(), known)
             if seen:
@@ -366,6 +371,7 @@ def scores(docs: DataFrame, model: tuple | None = None, vocabulary: str = VOCABU
     fields = [T.StructField("doc_id", own.schema["doc_id"].dataType), T.StructField("n_tokens", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("nll", "mean_nll", "perplexity"))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steady_memory()
         p, cls, share = sent.value
         for b in batches:
             n, nll = [], []
