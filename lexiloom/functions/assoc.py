@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -75,50 +76,56 @@ def smp(*args, k: float) -> Column:
     return div(f12 + F.lit(float(k)), f1 - f12 + F.lit(float(k)))
 
 
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function (modified Lentz)."""
+def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Continued fraction of the incomplete beta function (modified Lentz), for all rows at once until each has settled."""
     tiny = 1e-300
-    c, d = 1.0, 1.0 - (a + b) * x / (a + 1)
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
+    big = lambda v: np.where(np.abs(v) > tiny, v, tiny)
+    c, d = np.ones_like(x), 1.0 / big(1.0 - (a + b) * x / (a + 1))
+    h = d.copy()
+    left = np.arange(len(x))
     for m in range(1, 500):
-        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1.0 + num * d
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = 1.0 + num / c
-            c = c if abs(c) > tiny else tiny
-            h *= d * c
-        if abs(d * c - 1.0) < 1e-16:
+        p, q, y = a[left], b[left], x[left]
+        for num in (m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))):
+            d[left] = 1.0 / big(1.0 + num * d[left])
+            c[left] = big(1.0 + num / c[left])
+            h[left] *= d[left] * c[left]
+        left = left[np.abs(d[left] * c[left] - 1.0) >= 1e-16]
+        if not len(left):
             break
     return h
 
 
-def beta_inc(a: float, b: float, x: float) -> float:
+def beta_inc(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Regularised incomplete beta function."""
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-    if x < (a + 1) / (a + b + 2):
-        return front * _beta_fraction(a, b, x) / a
-    return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
-
-
-def student_sf(t: float, df: float) -> float:
+    out = (x >= 1).astype(float)
+    some = np.flatnonzero((x > 0) & (x < 1))
+    a, b, x = a[some], b[some], x[some]
+    gamma = lambda v: np.fromiter(map(math.lgamma, v), float, len(v))
+    front = np.exp(gamma(a + b) - gamma(a) - gamma(b) + a * np.log(x) + b * np.log1p(-x))
+    low = x < (a + 1) / (a + b + 2)
+    got = np.empty_like(x)
+    got[low] = front[low] * _beta_fraction(a[low], b[low], x[low]) / a[low]
+    got[~low] = 1.0 - front[~low] * _beta_fraction(b[~low], a[~low], 1.0 - x[~low]) / b[~low]
+    out[some] = got
+    return out
+
+
+def student_sf(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     """P(T > t)."""
-    if math.isnan(t) or math.isnan(df):
-        return NAN
-    half = 0.5 * beta_inc(df / 2, 0.5, df / (df + t * t))
-    return half if t >= 0 else 1.0 - half
+    half = 0.5 * beta_inc(df / 2, np.full(len(t), 0.5), df / (df + t * t))
+    return np.where(t >= 0, half, 1.0 - half)
 
 
 @F.pandas_udf(T.DoubleType())
 def _p_value(t: pd.Series, df: pd.Series, alt: pd.Series) -> pd.Series:
-    def one(x, d, a):
-        if x is None or d is None or x != x or d != d:
-            return None
-        return student_sf(x, d) if a == "greater" else student_sf(-x, d) if a == "less" else min(1.0, 2 * student_sf(abs(x), d))
-
-    return pd.Series([one(*r) for r in zip(t, df, alt)], dtype="float64")
+    x, d = t.to_numpy(float), df.to_numpy(float)
+    out = np.full(len(x), np.nan)
+    ok = np.flatnonzero(~np.isnan(x) & ~np.isnan(d))
+    if len(ok):
+        kind = alt.iloc[0]  # one for the whole column
+        x, d = x[ok], d[ok]
+        out[ok] = student_sf(x, d) if kind == "greater" else student_sf(-x, d) if kind == "less" else np.minimum(1.0, 2 * student_sf(np.abs(x), d))
+    return pd.Series(out).astype("Float64").where(~np.isnan(out), None)
 
 
 def welchs_t_from_stats(s1, ss1, n1, s2, ss2, n2, alt: str = "twosided", p: bool = True) -> Column:

@@ -37,6 +37,15 @@ class Corpus:
         """Keys that occur more than once; no rows in a sound corpus."""
         return self.df.groupBy(self.file, self.index).count().where(F.col("count") > 1)
 
+    def broken_files(self) -> DataFrame:
+        """Files whose positions aren't 0 to n - 1, each once: file, tokens, first and last position. Positions that lack
+        or repeat would shift spans; no rows in a sound corpus. Partial sums, one aggregation."""
+        at = F.col(self.index).cast("bigint")
+        files = self.df.groupBy(self.file).agg(F.count("*").alias("tokens"), F.min(at).alias("first"), F.max(at).alias("last"), F.sum(at).alias("_sum"), F.sum(at.cast("decimal(38,0)") * at).alias("_squares"))
+        n = F.col("tokens").cast("decimal(19,0)")
+        sound = (F.col("first") == 0) & (F.col("last") == F.col("tokens") - 1) & (2 * F.col("_sum") == F.col("tokens") * (F.col("tokens") - 1)) & (6 * F.col("_squares") == n * (n - 1) * (2 * n - 1))
+        return files.where(~F.coalesce(sound, F.lit(False))).drop("_sum", "_squares")
+
     def search(self, query: str, **kw) -> search.SearchResults:
         return search.search(self.df, query, self.token, self.pos, self.lemma, self.file, self.index, **kw)
 

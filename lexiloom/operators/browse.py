@@ -49,6 +49,10 @@ class Browser:
 
     def table(self) -> DataFrame:
         """All rows with left, match, right and the rank that the order gives."""
+        return self._ranked(None)
+
+    def _ranked(self, most: int | None) -> DataFrame:
+        """The first ``most`` rows, by a top-k: only they are ranked."""
         out = self.rows
         if self.term:
             found = [F.contains(F.lower(self.text(s)), F.lower(F.lit(self.term))) for s in ("left", "match", "right")]
@@ -64,14 +68,14 @@ class Browser:
             keys = place
         shown = out.select("file_id", "start", self.text("left").alias("left"), self.text("match").alias("match"), self.text("right").alias("right"), *[k.alias(f"_k{i}") for i, k in enumerate(keys[:-2])])
         sort = [F.col(f"_k{i}").desc() if self.order and self.order[1] else F.col(f"_k{i}") for i in range(len(keys) - 2)] + ["file_id", "start"]
+        shown = shown if most is None else shown.orderBy(*sort).limit(most)
         return shown.withColumn("rank", F.row_number().over(Window.orderBy(*sort))).drop(*[f"_k{i}" for i in range(len(keys) - 2)])
 
     def page(self, number: int = 0) -> DataFrame:
-        """One page; the order is cut to its rows by a top-k, not by ranking everything."""
+        """One page; rows after it are cut off by a top-k before ranking."""
         check_count(number, "number")
         first = number * self.page_size
-        plan = self.table()
-        return plan.where((F.col("rank") > first) & (F.col("rank") <= first + self.page_size)).orderBy("rank")
+        return self._ranked(first + self.page_size).where(F.col("rank") > first).orderBy("rank")
 
     def to_html(self, number: int = 0) -> str:
         """A page as a static table."""

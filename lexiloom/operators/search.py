@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -18,13 +19,22 @@ from ..session import prepare
 
 WINDOW_LENGTH = 8  # fixed patterns of up to so many tokens run without Python
 BITS = 62
+LITERALS = re.compile(r"[A-Za-z0-9]+(?:\|[A-Za-z0-9]+)*")
 
 
 def _condition(c) -> Column:
     """Three-valued; null becomes false outside."""
     if isinstance(c, ast.Bool):
         return reduce(Column.__and__ if c.all else Column.__or__, map(_condition, c.parts))
-    found = F.col(f"`{c.column}`").cast("string").rlike(("(?iu)" if c.fold else "") + rf"(?d)^(?:{c.regex})\z")
+    value, words = F.col(f"`{c.column}`").cast("string"), LITERALS.fullmatch(c.regex) and c.regex.split("|")
+    if words and not c.fold:  # an equality, which a scan can use
+        found = value.isin(*words)
+        return ~found if c.negate else found
+    if words:  # the characters beside A to Z that fold to i and s are the only ones lower() leaves apart
+        low = [w.lower() for w in words]
+        found = F.lower(F.translate(value, "\u0130\u0131\u017f", "iis") if {"i", "s"} & {*"".join(low)} else value).isin(*low)
+        return ~found if c.negate else found
+    found = value.rlike(("(?iu)" if c.fold else "") + rf"(?d)^(?:{c.regex})\z")
     return ~found if c.negate else found
 
 
@@ -245,6 +255,8 @@ class SearchResults:
         exprs = expr if isinstance(expr, (list, tuple)) else [expr]
         names = [output_name(self.corpus, e) for e in exprs]
         meta = [metadata] if isinstance(metadata, str) else list(metadata or [])
+        if chunk_column in self.corpus.columns and not isinstance(self.corpus.schema[chunk_column].dataType, T.StringType):
+            raise ValueError(f"chunk_column {chunk_column!r} must hold strings (B, I, O), not {self.corpus.schema[chunk_column].dataType.simpleString()}")
         check_columns(self.corpus, chunk_column=chunk_column, **{f"metadata[{i}]": m for i, m in enumerate(meta)})
         bound, context = self._bound(bindings), bool(window) or chunk_column is not None
         spans = self._edges(window, chunk_column, strict_chunks)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import partial
 
 from pyspark.sql import DataFrame
@@ -10,6 +12,7 @@ from pyspark.sql import Window
 
 from .functions import assoc, text
 from .functions.ieee import div
+from .model import Corpus
 from .operators import embeddings, lexical, plotdata, tables
 from .operators.browse import Browser
 from .operators.dispersion import dispersion
@@ -42,7 +45,14 @@ FILE_SIZE = "size AS (SELECT file_id, count(*) AS size FROM tok GROUP BY file_id
 
 def corpus(spark, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return tk.from_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return tk.from_documents(_spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+def _spread(docs: DataFrame) -> DataFrame:
+    """Documents over all cores: a file of a single row group would be cut into tokens by one. A table of as many
+    partitions as there are cores stays as it is."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(2 * cores, "doc_id")
 
 
 def query(name: str, sql: str | None = None, tok: bool = True):
@@ -269,9 +279,33 @@ def _(c):
     return search(c, "the $x: _{N}").matches.select("file_id", "start", "end", F.col("b_x.start").alias("x_start"), F.col("b_x.end").alias("x_end"))
 
 
-@query("bench_pattern", None)
+BENCH = f""", r AS (SELECT file_id, idx, pos, lead(low) OVER {W} AS w1, min(CASE WHEN pos <> 'AJ0' THEN idx END) OVER (PARTITION BY file_id ORDER BY idx ROWS BETWEEN 2 FOLLOWING AND UNBOUNDED FOLLOWING) AS e FROM tok),
+m AS (SELECT r.file_id, r.idx AS start, r.e + 1 AS "end" FROM r JOIN tok t ON t.file_id = r.file_id AND t.idx = r.e WHERE r.pos <> 'AJ0' AND r.w1 = 'the' AND t.pos LIKE 'NN%'),
+c AS (SELECT *, CASE WHEN start < lag("end") OVER (PARTITION BY file_id ORDER BY start) THEN 0 ELSE 1 END AS new FROM m),
+g AS (SELECT *, sum(new) OVER (PARTITION BY file_id ORDER BY start) AS chain FROM c),
+k AS (SELECT *, row_number() OVER (PARTITION BY file_id, chain ORDER BY start) AS n FROM g)"""
+
+
+@query("bench_pattern", BENCH + " SELECT file_id, start, \"end\", start + 1 AS y_start, \"end\" - start - 3 AS adjectives FROM k WHERE n % 2 = 1")
 def _(c):
-    return search_cqp(c, '$x: ([pos!="AJ0"]) $y: ([token="the"%c]) $z: ([pos="AJ0"]*) [pos="NN.*"]').matches
+    found = search_cqp(c, '$x: ([pos!="AJ0"]) $y: ([token="the"%c]) $z: ([pos="AJ0"]*) [pos="NN.*"]').matches
+    return found.select("file_id", "start", "end", F.col("b_y.start").alias("y_start"), (F.col("b_z.end") - F.col("b_z.start")).alias("adjectives"))
+
+
+@query("bench_pattern_plain", BENCH + " SELECT file_id, start, \"end\" FROM k WHERE n % 2 = 1")
+def _(c):
+    return search_cqp(c, '[pos!="AJ0"] [token="the"%c] [pos="AJ0"]* [pos="NN.*"]').matches.select("file_id", "start", "end")
+
+
+RUNS = ", r AS (SELECT file_id, idx, idx - row_number() OVER (PARTITION BY file_id ORDER BY idx) AS g FROM tok WHERE pos = 'CRD'), q AS (SELECT file_id, min(idx) AS start, max(idx) + 1 AS \"end\" FROM r GROUP BY file_id, g)"
+_search("search_token_or", '[pos="CRD" | token="the|and"%c]', "pos = 'CRD' OR low IN ('the', 'and')", cqp=True)
+_search("search_escape", "\\?", "low = '?'")
+_search("search_lemma_tag", "{the}_AT0", "lemma = 'the' AND pos = 'AT0'")
+_search("search_case", '[token="The"]', "token = 'The'", cqp=True)
+_search("search_fold_i_s", '[token="is|this"%c]', "low IN ('is', 'this')", cqp=True)
+_search("search_group_plus", "( _CRD )+", None, full=RUNS + " SELECT * FROM q")
+_search("search_at_least", '[pos="CRD"]{2,}', None, cqp=True, full=RUNS + ' SELECT * FROM q WHERE "end" - start >= 2')
+_search("search_at_most", '[pos="NN2"]{,1} [pos="AJ0"]', None, cqp=True, full=f""" SELECT file_id, idx - CASE WHEN b = 'NN2' THEN 1 ELSE 0 END AS start, idx + 1 AS "end" FROM (SELECT *, lag(pos) OVER {W} AS b FROM tok) WHERE pos = 'AJ0'""")
 
 
 @query("search_conversations", """WITH t AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS token FROM conversations WHERE text IS NOT NULL), c AS (SELECT conv_id, count(*) FILTER (WHERE lower(token) = 'the') AS hits FROM t GROUP BY conv_id) SELECT conv_id, hits FROM c WHERE hits > 0""", tok=False)
@@ -341,6 +375,48 @@ def _(c):
     return search(c, "the").sample(20, seed=1).matches
 
 
+@query("results_sample_is_of_matches", " SELECT 20 AS n, 20 AS different, 20 AS matching")
+def _(c):
+    drawn = search(c, "the").sample(20, seed=1).matches
+    both = drawn.join(c.where(F.lower("token") == "the").select(F.col("file_id").alias("f"), F.col("idx").alias("i")), (F.col("file_id") == F.col("f")) & (F.col("start") == F.col("i")), "left")
+    return both.agg(F.count("*").alias("n"), F.countDistinct("file_id", "start").alias("different"), F.count("f").alias("matching"))
+
+
+@query("results_shuffle", " SELECT file_id, idx AS start, idx + 1 AS \"end\" FROM tok WHERE low = 'with'")
+def _(c):
+    return search(c, "with").shuffle(3).matches.select("file_id", "start", "end")
+
+
+@query("results_length", " SELECT count(*) AS n, 'x' AS variables FROM (SELECT low, lead(pos) OVER (PARTITION BY file_id ORDER BY idx) AS p FROM tok) WHERE low = 'with' AND p LIKE 'N%'")
+def _(c):
+    found = search(c, "with $x: _{N}")
+    return c.sparkSession.createDataFrame([(len(found), ",".join(found.variables))], "n bigint, variables string")
+
+
+@query("functional_forms", f", {KWIC} SELECT file_id, start, \"end\", token_left_context, token, token_right_context FROM k WHERE low = 'that'")
+def _(c):
+    from .operators import search as forms
+
+    return _joined(forms.concordance(search(c, "that"), window=3))
+
+
+@query("subcorpus", " SELECT file_id, idx AS start FROM tok WHERE lang = 'en' AND low = 'the'")
+def _(c):
+    return Corpus(c).where("lang = 'en'").search("the").matches.select("file_id", "start")
+
+
+@query("corpus_methods", f" SELECT low AS word, ngram, n FROM (SELECT low, token || ' ' || lead(token) OVER {W} AS ngram FROM tok) JOIN (SELECT low AS w, count(*) AS n FROM tok GROUP BY low HAVING count(*) >= 50) ON low = w WHERE ngram IS NOT NULL")
+def _(c):
+    own = Corpus(c)
+    frequent = own.frequencies(F.lower("token").alias("word")).where("freq >= 50")
+    return own.ngrams(2).where("ngram is not null").select(F.lower("token").alias("word"), "ngram").join(frequent, "word").select("word", "ngram", F.col("freq").alias("n"))
+
+
+@query("broken_files", """, kept AS (SELECT file_id, idx FROM tok WHERE low <> 'with') SELECT file_id, count(*) AS tokens, min(idx) AS first, max(idx) AS last FROM kept GROUP BY file_id HAVING max(idx) <> count(*) - 1 OR min(idx) <> 0""")
+def _(c):
+    return Corpus(c.where(F.lower("token") != "with")).broken_files()
+
+
 def _browser(c) -> Browser:
     return search(c, "with").view(window=3)
 
@@ -351,6 +427,26 @@ def _(c):
     return b.page(0).unionByName(b.page(1))
 
 
+BROWSED = "file_id, start, token_left_context AS \"left\", token AS match, token_right_context AS \"right\""
+OUTWARDS = "lower(array_to_string(list_reverse(string_split(token_left_context, ' ')), ' '))"
+
+
+def _kwic(name: str, order: str, step) -> None:
+    @query(name, f", {KWIC} SELECT {BROWSED}, row_number() OVER (ORDER BY {order}) AS rank FROM k WHERE low = 'with' QUALIFY rank > 60 AND rank <= 80")
+    def _(c):
+        return step(_browser(c)).page(3)
+
+
+_kwic("kwic_sort_left", f"{OUTWARDS}, file_id, start", lambda b: b.sort("left"))
+_kwic("kwic_sort_match_desc", "lower(token) DESC, file_id, start", lambda b: b.sort("match", descending=True))
+_kwic("kwic_restored", "file_id, start", lambda b: b.shuffle(5).sort(None))
+
+
+@query("kwic_column", f", {KWIC} SELECT file_id, start, pos_left_context AS \"left\", pos AS match, pos_right_context AS \"right\", row_number() OVER (ORDER BY file_id, start) AS rank FROM k WHERE low = 'with'")
+def _(c):
+    return Browser(search(c, "with").concordance(["token", "pos"], window=3), "pos").table()
+
+
 @query("kwic_filter", f", {KWIC} SELECT file_id, start, token_left_context AS \"left\", token AS match, token_right_context AS \"right\", row_number() OVER (ORDER BY file_id, start) AS rank FROM k WHERE low = 'with' AND (contains(lower(token_left_context), 'the') OR contains(lower(token_right_context), 'the'))")
 def _(c):
     return _browser(c).filter("The").table()
@@ -399,11 +495,12 @@ KEYS = PARTS + ", size2 AS (SELECT count(*) FILTER (WHERE target)::DOUBLE AS f2,
 
 def _parts(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality is not null").select(F.col("doc_id").alias("file_id"), "quality").distinct()
-    c = corpus(spark, sf_dir).join(labels, "file_id")
+    prepare(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").join(labels, F.col("doc_id") == F.col("file_id")).drop("file_id")  # only labelled documents are cut into tokens
+    c = tk.from_documents(_spread(docs), metadata=("lang", "source", "quality"))
     return c.where("quality = 1"), c.where("quality != 1")
 
 
-
 def _keywords(method: str, sql: str, column: str, **kw) -> None:
     def run(spark, sf_dir):
         target, reference = _parts(spark, sf_dir)
@@ -552,11 +649,86 @@ class LetterModel:
         return out
 
 
-@query("encode_matches", None)
+ENCODED = f""", {KWIC}, x AS (SELECT file_id, start, lang, lower(concat_ws(' ', nullif(token_left_context, ''), token, nullif(token_right_context, ''))) AS t FROM k WHERE low = 'with'),
+y AS (SELECT *, unnest(range(26)) AS i FROM x), z AS (SELECT file_id, start, lang, i, (length(t) - length(replace(t, chr((97 + i)::INTEGER), '')))::DOUBLE AS c FROM y),
+v AS (SELECT *, c / sqrt(sum(c * c) OVER (PARTITION BY file_id, start)) AS x FROM z)"""
+
+
+@query("encode_matches", ENCODED + " SELECT file_id, start, lang, i, round(x::FLOAT::DOUBLE, 4) AS x FROM v")
+def _(c):
+    rows = search(c, "with").encode(LetterModel(), window=3, metadata="lang")
+    return rows.select("file_id", "start", "lang", F.posexplode("vector").alias("i", "x")).select("file_id", "start", "lang", F.col("i").cast("bigint").alias("i"), F.round(F.col("x").cast("double"), 4).alias("x"))
+
+
+@query("encode_term_vector", ENCODED + ", w AS (SELECT i, avg(x) AS x FROM v GROUP BY i) SELECT 'with' AS term, i, round(x / (SELECT sqrt(sum(x * x)) FROM w), 4) AS x FROM w")
+def _(c):
+    rows = embeddings.encode_terms(["with"], c, LetterModel(), window=3)
+    return rows.select("term", F.posexplode("vector").alias("i", "x")).select("term", F.col("i").cast("bigint").alias("i"), F.round(F.col("x").cast("double"), 4).alias("x"))
+
+
+@query("text_plot_data", " SELECT lang AS label, count(DISTINCT file_id)::DOUBLE AS x, count(*)::DOUBLE AS y FROM tok GROUP BY lang")
+def _(c):
+    return plotdata.text_data(c.groupBy("lang").agg(F.countDistinct("file_id").alias("files"), F.count("*").alias("tokens")), "files", "tokens", "lang")
+
+
+@query("prefix_rates", """, g AS (SELECT low, row_number() OVER (ORDER BY file_id, idx) AS g FROM tok), p AS (SELECT low, p, count(*) FILTER (WHERE g <= p) * 10000.0 / least(p, (SELECT count(*) FROM tok)) AS r FROM g, (SELECT unnest([1000, 10000, 100000]) AS p) WHERE low IN ('the', 'and', 'of') GROUP BY low, p)
+SELECT low AS word, round(max(r) FILTER (WHERE p = 1000), 6) AS r_1000, round(max(r) FILTER (WHERE p = 10000), 6) AS r_10000, round(max(r) FILTER (WHERE p = 100000), 6) AS r_100000 FROM p GROUP BY low""")
 def _(c):
-    return search(c, "with").encode(LetterModel(), window=3, metadata="lang")
+    rows = plotdata.global_index(c.select("file_id", "idx", F.lower("token").alias("word"))).where(F.col("word").isin("the", "and", "of"))
+    rows = rows.crossJoin(F.broadcast(c.agg(F.count("*").alias("n"))))  # one row
+    rate = lambda p: r6(F.count(F.when(F.col("position") < p, 1)) * F.lit(10000.0) / F.least(F.lit(p), F.first("n"))).alias(f"r_{p}")
+    return rows.groupBy("word").agg(*map(rate, (1000, 10000, 100000)))
 
 
+@query("dispersion_by_hand", f", {FILE_SIZE}, c AS (SELECT low AS word, file_id, count(*) AS n FROM tok GROUP BY low, file_id), r AS (SELECT word, n * 100000.0 / size AS r FROM c JOIN size USING (file_id)) SELECT word, count(*) AS files, round(avg(r), 4) AS mean, round(stddev_pop(r), 4) AS sd FROM r GROUP BY word HAVING count(*) >= 20")
+def _(c):
+    counts = c.groupBy(F.lower("token").alias("word"), "file_id").agg(F.count("*").alias("n"))
+    sizes = c.groupBy("file_id").agg(F.count("*").alias("size"))
+    rates = counts.join(sizes, "file_id").select("word", (F.col("n") * F.lit(100000.0) / F.col("size")).alias("r"))
+    return rates.groupBy("word").agg(F.count("*").alias("files"), F.round(F.avg("r"), 4).alias("mean"), F.round(F.stddev_pop("r"), 4).alias("sd")).where("files >= 20")
+
+
+# sources and sinks -------------------------------------------------------------------------------------------------------
+
+
+def _folder(spark) -> str:
+    """A new folder in the one that the cluster shares; a local session without one has a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="lexiloom-")
+    return f"{shared.rstrip('/')}/corpus-{uuid.uuid4().hex}"
+
+
+@query("written_corpus", " SELECT file_id, idx, token, lemma, pos, sent, lang FROM tok")
+def _(c):
+    path = _folder(c.sparkSession)
+    tk.write_corpus(c.drop("source"), path)
+    return c.sparkSession.read.parquet(path)
+
+
+def _tagged_files(c) -> str:
+    """Every file of the corpus as tagged text, a sentence a line, in a folder of its own."""
+    path = _folder(c.sparkSession)
+    rows = text.with_chunk_index(c.select("file_id", "idx", "token", "pos", "sent"), "sent")
+    item = F.struct("idx", F.concat("token", F.lit("/"), "pos").alias("t"))
+    lines = rows.groupBy("file_id", "chunk_idx").agg(F.array_join(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["t"]), " ").alias("line"))
+    files = lines.groupBy("file_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_idx", "line"))), lambda x: x["line"]), "\n").alias("value"))
+    files.write.partitionBy("file_id").text(path)
+    return path
+
+
+@query("tagged_text", " SELECT file_id, idx, token, pos, sent FROM tok")
+def _(c):
+    rows = tk.read_text_corpus(c.sparkSession, f"{_tagged_files(c)}/*/*.txt")
+    return rows.withColumn("file_id", F.regexp_extract("file_id", "file_id=([0-9]+)", 1).cast("bigint"))
+
+
+@query("tagged_text_scan", " SELECT pos, count(*) AS n FROM tok WHERE pos = 'CRD' GROUP BY pos")
+def _(c):
+    return tk.scan_text_corpus(c.sparkSession, f"{_tagged_files(c)}/*/*.txt").where("pos = 'CRD'").groupBy("pos").agg(F.count("*").alias("n"))
+
 @query("encode_terms", None)
 def _(c):
     return embeddings.encode_terms(["with", "the _{N}", "zzzzzz"], c, LetterModel(), window=3)
