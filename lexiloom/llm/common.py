@@ -54,14 +54,14 @@ def arrow_batches(spark: SparkSession) -> None:
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir. A local session without one gets a
-    temporary folder; any other session without one gets a folder in the warehouse, which executors share."""
+    temporary folder, any other an error: no other folder is known to be shared."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not named:
         if sc.master.startswith("local[") or sc.master == "local":
             named = tempfile.mkdtemp(prefix="lexiloom-")
         else:
-            named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lexiloom_shared"
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
 
