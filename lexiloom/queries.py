@@ -299,7 +299,7 @@ def _(c):
 
 RUNS = ", r AS (SELECT file_id, idx, idx - row_number() OVER (PARTITION BY file_id ORDER BY idx) AS g FROM tok WHERE pos = 'CRD'), q AS (SELECT file_id, min(idx) AS start, max(idx) + 1 AS \"end\" FROM r GROUP BY file_id, g)"
 _search("search_token_or", '[pos="CRD" | token="the|and"%c]', "pos = 'CRD' OR low IN ('the', 'and')", cqp=True)
-_search("search_escape", "\\?", "low = '?'")
+_search("search_escape", "\\.", "low = '.'")
 _search("search_lemma_tag", "{the}_AT0", "lemma = 'the' AND pos = 'AT0'")
 _search("search_case", '[token="The"]', "token = 'The'", cqp=True)
 _search("search_fold_i_s", '[token="is|this"%c]', "low IN ('is', 'this')", cqp=True)
