@@ -38,12 +38,14 @@ def yules_k(df: DataFrame, expr: str | Column, by: str | list[str] | None = None
     return out.select(*keys, F.when(n == 0, F.lit(NAN)).otherwise(F.lit(1e4) * (div(F.col("_q"), n * n) - div(F.lit(1.0), n))).alias("yules_k"))
 
 
-def msttr(df: DataFrame, expr: str | Column, n: int = 1000, index: str = "idx", by: str | list[str] | None = "file_id") -> DataFrame:
-    """Mean type-token ratio of segments of n tokens; the rest at the end doesn't count; null for less than a segment."""
+def msttr(df: DataFrame, expr: str | Column, n: int = 1000, index: str = "idx", by: str | list[str] | None = "file_id", dense: bool = False) -> DataFrame:
+    """Mean type-token ratio of segments of n tokens; the rest at the end doesn't count; null for less than a segment.
+    ``dense``: the index counts from 0 without gaps in each group, so that nothing has to be sorted."""
     check_count(n, "n", 1)
     keys = _by(by)
     w = Window.partitionBy(*keys).orderBy(index) if keys else Window.orderBy(index)
-    rows = df.select(*keys, index, as_column(expr).alias("_x")).withColumn("_s", F.floor((F.row_number().over(w) - 1) / n))
+    place = F.col(index) if dense else F.row_number().over(w) - 1
+    rows = df.select(*keys, index, as_column(expr).alias("_x")).withColumn("_s", F.floor(place / n))
     types = rows.groupBy(*keys, "_s", "_x").agg(F.count("*").alias("_c")).groupBy(*keys, "_s").agg(F.count("*").alias("_v"), F.sum("_c").alias("_n"))
     full = F.col("_n") == n
     segments = F.count(F.when(full, 1))

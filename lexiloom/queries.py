@@ -581,7 +581,7 @@ def _(c):
 
 @query("msttr", ", s AS (SELECT file_id, idx // 100 AS seg, count(*) AS n, count(DISTINCT low) AS v FROM tok GROUP BY file_id, seg) SELECT file_id, round(sum(v) FILTER (WHERE n = 100)::DOUBLE / count(*) FILTER (WHERE n = 100) / 100, 6) AS msttr FROM s GROUP BY file_id")
 def _(c):
-    return lexical.msttr(c, F.lower("token"), 100).withColumn("msttr", r6("msttr"))
+    return lexical.msttr(c, F.lower("token"), 100, dense=True).withColumn("msttr", r6("msttr"))
 
 
 @query("mtld", None)

@@ -213,6 +213,7 @@ def test_lexical(spark):
     ten = corpus(spark, {"f": [*"abcdefghij", *["x"] * 10, *"pqrst", *"pqrst", "z"]})
     assert lexical.msttr(ten, "token", 10).collect()[0].msttr == pytest.approx((1 + 0.1 + 0.5) / 3)
     assert lexical.msttr(ten, "token", 100).collect()[0].msttr is None
+    assert lexical.msttr(ten, "token", 10, dense=True).collect() == lexical.msttr(ten, "token", 10).collect()
     k = corpus(spark, {"f": ["the"] * 50 + ["cat"] * 30})
     assert lexical.yules_k(k, "token").collect()[0].yules_k == pytest.approx(5187.5)
 
