@@ -8,7 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -232,14 +232,22 @@ class SearchResults:
         """Matches with lo and hi, where their contexts begin and end (as far as the file goes)."""
         if chunk_column is None:
             return self.matches.withColumn("lo", F.greatest(F.col("start") - window, F.lit(0))).withColumn("hi", F.col("end") + window)
-        key, at = F.col(self.file_id_column), F.col(self.index_column).cast("bigint")
-        edge = ~F.col(chunk_column).cast("string").eqNullSafe("I")
-        files = self.corpus.groupBy(key.alias("fid")).agg(F.collect_list(F.when(edge, at)).alias("at"), (F.max(at) + 1).alias("size"))
-        before = (lambda x: x <= F.col("start")) if strict else (lambda x: x < F.col("start"))
-        lo = F.coalesce(F.array_max(F.filter("at", before)), F.lit(0))
-        hi = F.coalesce(F.array_min(F.filter("at", lambda x: x >= F.col("end"))), F.col("size"))
-        found = self.matches.join(files, F.col("file_id").eqNullSafe(F.col("fid")))
-        return found.withColumn("lo", lo).withColumn("hi", hi).drop("fid", "at", "size")
+        held = self.matches.select(F.col("file_id").alias("_f")).distinct()
+        tokens = self._tokens({"_tag": F.col(chunk_column).cast("string")}).join(held, F.col("fid").eqNullSafe(F.col("_f")), "left_semi")
+        sizes = tokens.groupBy("fid").agg((F.max("at") + 1).alias("_size"))
+        edges = tokens.where(~F.col("_tag").eqNullSafe("I")).select(F.col("fid").alias("file_id"), F.col("at").alias("_p"), F.col("at").alias("_edge"))
+
+        def nearest(found: DataFrame, name: str, place: str, order: list[Column]) -> DataFrame:
+            """The last edge that comes before the match in this order: one sort of a file's edges and matches."""
+            both = found.withColumn("_m", F.lit(True)).withColumn("_p", F.col(place).cast("bigint")).unionByName(edges, allowMissingColumns=True)
+            w = Window.partitionBy("file_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+            return both.withColumn(name, F.last("_edge", ignorenulls=True).over(w)).where("_m").drop("_m", "_p", "_edge")
+
+        match_last, match_first = F.col("_m").isNotNull().asc(), F.col("_m").isNull().asc()
+        found = nearest(self.matches, "lo", "start", [F.col("_p").asc(), match_last if strict else match_first])
+        found = nearest(found, "hi", "end", [F.col("_p").desc(), match_last])
+        found = found.join(sizes, F.col("file_id").eqNullSafe(F.col("fid")))
+        return found.withColumn("lo", F.coalesce("lo", F.lit(0))).withColumn("hi", F.coalesce("hi", "_size")).drop("fid", "_size")
 
     def _tokens(self, columns: dict[str, Column]) -> DataFrame:
         return self.corpus.select(F.col(self.file_id_column).alias("fid"), F.col(self.index_column).cast("bigint").alias("at"), *[c.alias(n) for n, c in columns.items()])
