@@ -305,8 +305,10 @@ class SearchResults:
         tokens = self._tokens({name: as_column(expr)}).where(F.col(f"`{name}`").isNotNull())
         near = places.join(tokens, F.col("file_id").eqNullSafe(F.col("fid")) & (F.col("p") == F.col("at"))).groupBy(name).agg(F.count("*").alias("f12")).where(F.col("f12") >= min_freq)
         every = self.corpus.select(as_column(expr).alias(name)).groupBy(name).agg(F.count("*").alias("f2"))
-        totals = self.corpus.agg(F.count("*").alias("n")).crossJoin(self.matches.agg((F.count("*") * (2 * window)).alias("f1")))  # one row
-        return near.join(every, name, "left").crossJoin(F.broadcast(totals)).select(name, freqs("f12", "f1", "f2", "n").alias(freqs_name))
+        totals = every.agg(F.sum("f2").alias("n")).crossJoin(self.matches.agg((F.count("*") * (2 * window)).alias("f1")))  # one row
+        # null-safe, so that no filter is added to one of the two uses of the counts and they share a shuffle
+        known = every.withColumnRenamed(name, "_k")
+        return near.join(known, F.col(f"`{name}`").eqNullSafe(F.col("_k")), "left").crossJoin(F.broadcast(totals)).select(name, freqs("f12", "f1", "f2", "n").alias(freqs_name))
 
     def with_spans_as_chunks(self, name: str = "spans") -> DataFrame:
         """The corpus with a tag column: B where a match begins, I inside, O elsewhere."""
