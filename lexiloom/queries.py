@@ -695,7 +695,7 @@ def _folder(spark) -> str:
     """A new folder in the one that the cluster shares; a local session without one has a temporary one."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="lexiloom-")
     return f"{shared.rstrip('/')}/corpus-{uuid.uuid4().hex}"
