@@ -23,6 +23,8 @@ from __future__ import annotations
 import base64
 import ctypes
 import functools
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,27 +37,34 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import arrow_batches, pick, table
 from .textvec import chunks
-from .tokencounts import PATTERN, VOCABULARY
+from .tokencounts import BLANK, PATTERN, VOCABULARY
 
 WINDOW, STRIDE, DIM, SLOTS, CLASSES, SINGLE = 32, 24, 16, 4096, 64, 40
 ROUNDS, BATCH, RATE = 2, 128, 0.01
 SMALL = 256  # windows worked on at once in scoring
 BYTES = 120_000  # of ids
 VOCAB, BOS = 50_257, 50_256
+WIDE_BLANKS = tuple({x.encode()[:1] for x in BLANK if x > "~"})  # first bytes
+AHEAD, LAST_BLANK = r"|\s+(?!\S)", re.compile(f"(?<=[{BLANK}])(?=[{BLANK}][^{BLANK}])")
 SHAPES = {"E": (SLOTS, DIM), "P": (WINDOW, DIM), "Q": (DIM, DIM), "K": (DIM, DIM), "V": (DIM, DIM), "O": (DIM, DIM), "U": (DIM, CLASSES), "b": (CLASSES,)}
 
 
 class Encoder:
-    """Ids of texts."""
+    """Ids of texts. PATTERN looks ahead for one thing only: the last of several blanks goes with what follows them. Texts are
+    cut there first; then the pattern without looking ahead, which is matched faster, gives the same pieces."""
 
     def __init__(self, path: str = VOCABULARY):
         with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.encode = tiktoken.Encoding("own", pat_str=PATTERN.replace(AHEAD, ""), mergeable_ranks=self.ranks, special_tokens={}).encode_ordinary
 
     def ids(self, text: str) -> bytes:
         """Ids as 16-bit integers."""
-        return np.array(self.encode(text), np.uint16).tobytes()
+        raw = text.encode("utf-8", "surrogatepass")
+        blank = np.frombuffer(raw, np.uint8) <= 32
+        if (blank[1:] & blank[:-1]).any() or any(x in raw for x in WIDE_BLANKS):
+            return b"".join(array("H", self.encode(t)).tobytes() for t in LAST_BLANK.split(text))
+        return array("H", self.encode(text)).tobytes()
 
 
 @functools.cache
@@ -80,6 +89,12 @@ def slot(ids: np.ndarray) -> np.ndarray:
     return (ids.astype(np.uint32) * np.uint32(2654435761) >> np.uint32(20)).astype(np.int32)
 
 
+@functools.cache
+def _slots() -> np.ndarray:
+    """slot() of every 16-bit id, to be looked up."""
+    return slot(np.arange(1 << 16)).astype(np.intp)
+
+
 def classes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(class, log share of its class) of each id, from the counts of all ids; every id counts once more, so none is impossible."""
     n = counts.astype(np.float64) + 1
@@ -133,95 +148,120 @@ def forward(p: dict, x: np.ndarray):
 KEEP = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
 
-@functools.lru_cache(16)
+@functools.lru_cache(32)
 def _scratch(name: str, shape: tuple, kind: np.dtype) -> np.ndarray:
     """An array to write over: large new ones cost more than what is done in them."""
     return np.empty(shape, kind)
 
 
-def _exp(a: np.ndarray) -> np.ndarray:
-    """exp in place, moved by each row's maximum only where it could overflow."""
-    if a.max(initial=0) > 60 or a.min(initial=0) < -60:
-        a -= a.max(-1, keepdims=True)
-    return np.exp(a, out=a)
+def _in_range(sums: np.ndarray) -> bool:
+    """Whether sums of exp are exact without moving what goes into exp by its maximum."""
+    return bool(sums.min(initial=1) > 1e-20 and sums.max(initial=1) < 1e20)
+
+
+def joined(p: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Products of matrices that always come one after the other: queries times keys, values times output. With them
+    embeddings are keys and values themselves."""
+    return p["Q"] @ p["K"].T * np.float32(DIM**-0.5), p["V"] @ p["O"]
+
+
+def _embed(p: dict, x: np.ndarray) -> np.ndarray:
+    e = p["E"].take(x.ravel(), 0, out=_scratch("e", (x.size, DIM), p["E"].dtype), mode="clip").reshape(*x.shape, DIM)
+    e += p["P"]
+    return e
 
 
+def _attend(q: np.ndarray, e: np.ndarray, begin: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Attention without its division by its sums, one over these, and the embeddings it adds up (divided)."""
+    a, one = _scratch("a", (*q.shape[:2], WINDOW), e.dtype), np.ones((WINDOW, 1), e.dtype)
+    for shift in (False, True):
+        np.matmul(q, e.transpose(0, 2, 1), out=a)
+        if shift:
+            a += MASK[begin:]
+            a -= a.max(-1, keepdims=True)
+        np.exp(a, out=a)
+        a *= KEEP[begin:]
+        weight = a.reshape(-1, WINDOW) @ one
+        if _in_range(weight):
+            break
+    np.divide(1, weight, out=weight)
+    z = np.matmul(a, e, out=_scratch("z", q.shape, e.dtype)).reshape(-1, DIM)
+    z *= weight
+    return a, weight, z
+
+
+def _softmax(p: dict, r: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """exp of logits in two factors, of places and of classes; their sums by place; logits of classes y, and where these are in the first factor."""
+    g, b = _scratch("logit", (len(r), CLASSES), r.dtype), p["b"]
+    flat, place = g.ravel(), np.arange(0, g.size, CLASSES) + y
+    for shift in (False, True):
+        np.matmul(r, p["U"], out=g)
+        if shift:
+            g += b
+            g -= g.max(-1, keepdims=True)
+            b = np.zeros_like(b)
+        own = flat[place] + b[y]
+        np.exp(g, out=g)
+        top = np.exp(b)
+        total = g @ top
+        if _in_range(total) and _in_range(top):
+            break
+    return g, top, total, own, place
+
+
+@np.errstate(over="ignore", under="ignore", invalid="ignore")
 def target_logp(p: dict, x: np.ndarray, y: np.ndarray, begin: int = 0) -> np.ndarray:
     """As forward(), for one class a place, from place ``begin`` of each window on: masks by product, and divides sums and
     not whole matrices."""
-    rows = WINDOW - begin
-    e = p["E"][x] + p["P"]
-    kv = (e.reshape(-1, DIM) @ np.concatenate((p["K"], p["V"]), 1)).reshape(len(x), WINDOW, 2 * DIM)
+    inner, outer = joined(p)
+    e = _embed(p, x)
     own = e[:, begin:].reshape(-1, DIM)
-    q = (own @ (p["Q"] * np.float32(DIM**-0.5))).reshape(len(x), rows, DIM)
-    v = np.ones((len(x), WINDOW, DIM + 1), np.float32)
-    v[:, :, :DIM] = kv[:, :, DIM:]
-    a = np.matmul(q, kv[:, :, :DIM].transpose(0, 2, 1), out=_scratch("a", (len(x), rows, WINDOW), q.dtype))
-    if a.max(initial=0) > 60 or a.min(initial=0) < -60:
-        a += MASK[begin:]
-    a = _exp(a)
-    a *= KEEP[begin:]
-    z = (a @ v).reshape(-1, DIM + 1)
-    r = own + (z[:, :DIM] / z[:, DIM:]) @ p["O"]
-    logit = np.matmul(r, p["U"], out=_scratch("logit", (len(r), CLASSES), r.dtype))
-    logit += p["b"]
-    if logit.max(initial=0) > 60:
-        logit -= logit.max(-1, keepdims=True)
-    own = logit[np.arange(len(logit)), y]
-    return own - np.log(np.exp(logit, out=logit) @ np.ones(CLASSES, np.float32))
+    _, _, z = _attend((own @ inner).reshape(len(x), WINDOW - begin, DIM), e, begin)
+    r = np.matmul(z, outer, out=_scratch("r", z.shape, z.dtype))
+    r += own
+    _, _, total, own, _ = _softmax(p, r, y)
+    return own - np.log(total)
 
 
+@np.errstate(over="ignore", under="ignore", invalid="ignore")
 def backward(p: dict, x: np.ndarray, y: np.ndarray, m: np.ndarray) -> tuple[float, dict]:
-    """Mean loss over the places where m is true, and gradients."""
-    scale = np.float32(DIM**-0.5)
-    e = p["E"][x] + p["P"]
-    e2, n, t = e.reshape(-1, DIM), max(1, m.sum()), m.ravel()
-    mixer = np.concatenate((p["Q"] * scale, p["K"], p["V"]), 1)
-    w = (e2 @ mixer).reshape(len(x), WINDOW, 3 * DIM)
-    q, k, v = w[:, :, :DIM], w[:, :, DIM : 2 * DIM], w[:, :, 2 * DIM :]
-    a = np.matmul(q, k.transpose(0, 2, 1), out=_scratch("a", (len(x), WINDOW, WINDOW), w.dtype))
-    if a.max(initial=0) > 60 or a.min(initial=0) < -60:
-        a += MASK
-    a = _exp(a)
-    a *= KEEP
-    a *= 1 / (a @ np.ones((WINDOW, 1), a.dtype))
-    z = (a @ v).reshape(-1, DIM)
-    r = e2 + z @ p["O"]
-    g = np.matmul(r, p["U"], out=_scratch("logit", (len(r), CLASSES), r.dtype))
-    g += p["b"]
-    if g.max(initial=0) > 60 or g.min(initial=0) < -60:
-        g -= g.max(-1, keepdims=True)
-    place, target = np.arange(len(g)), y.ravel()
-    own = g[place, target]
-    np.exp(g, out=g)
-    total = g @ np.ones(CLASSES, g.dtype)
-    loss = -float((own - np.log(total))[t].sum()) / n
-    part = (t / n).astype(g.dtype)
-    g *= (part / total)[:, None]
-    g[place, target] -= part
-    d = {"U": r.T @ g, "b": np.ones(len(g), g.dtype) @ g}
-    dr = g @ p["U"].T
-    d["O"] = z.T @ dr
-    dz = dr @ p["O"].T
-    ds = np.matmul(dz.reshape(e.shape), v.transpose(0, 2, 1), out=_scratch("ds", a.shape, w.dtype))
-    ds -= np.einsum("ij,ij->i", dz, z).reshape(len(x), WINDOW, 1)
+    """Mean loss over the places where m is true, and gradients. Matrices of classes and of attention are left undivided;
+    the narrow ones made of them are multiplied instead."""
+    n, kind, y = x.size, p["E"].dtype, y.ravel()
+    inner, outer = joined(p)
+    e = _embed(p, x)
+    e2 = e.reshape(n, DIM)
+    q = np.matmul(e2, inner, out=_scratch("q", e2.shape, kind)).reshape(e.shape)
+    a, weight, z = _attend(q, e)
+    r = np.matmul(z, outer, out=_scratch("r", e2.shape, kind))
+    r += e2
+    g, top, total, own, place = _softmax(p, r, y)
+    part = m.ravel() / kind.type(max(1, m.sum()))
+    loss = float((np.log(total) - own) @ part)
+    g.ravel()[place] -= (total / top[y]).astype(kind, copy=False)
+    part /= total
+    dr = np.matmul(g, (p["U"] * top).T, out=_scratch("dr", e2.shape, kind))
+    dr *= part[:, None]
+    r *= part[:, None]
+    d = {"U": (g.T @ r).T * top, "b": (part @ g) * top}
+    mixed = z.T @ dr
+    d["V"], d["O"] = mixed @ p["O"].T, p["V"].T @ mixed
+    dz = np.matmul(np.multiply(dr, weight, out=r), outer.T, out=_scratch("dz", e2.shape, kind))
+    dz3 = dz.reshape(e.shape)
+    ds = np.matmul(dz3, e.transpose(0, 2, 1), out=_scratch("ds", a.shape, kind))
+    ds -= np.einsum("ij,ij->i", dz, z).reshape(*x.shape, 1)
     ds *= a
-    dw = np.empty_like(w)
-    np.matmul(ds, k, out=dw[:, :, :DIM])
-    np.matmul(ds.transpose(0, 2, 1), q, out=dw[:, :, DIM : 2 * DIM])
-    np.matmul(a.transpose(0, 2, 1), dz.reshape(e.shape), out=dw[:, :, 2 * DIM :])
-    dw = dw.reshape(-1, 3 * DIM)
-    d["Q"], d["K"], d["V"] = np.split(e2.T @ dw, 3, 1)
-    d["Q"] = d["Q"] * scale
-    de = dw @ mixer.T
+    de = np.matmul(ds.transpose(0, 2, 1), q, out=_scratch("de", e.shape, kind)).reshape(n, DIM)
     de += dr
-    d["P"] = de.reshape(e.shape).sum(0)
-    rows = x.ravel().astype(np.int16)  # SLOTS is under 2^15
-    order = np.argsort(rows, kind="stable")
-    rows = rows[order]
-    first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+    de += np.matmul(a.transpose(0, 2, 1), dz3, out=q).reshape(n, DIM)
+    dq = np.matmul(ds, e, out=dz3).reshape(n, DIM)
+    de += np.matmul(dq, inner.T, out=dr)
+    mixed = e2.T @ dq * np.float32(DIM**-0.5)
+    d["Q"], d["K"] = mixed @ p["K"], mixed.T @ p["Q"]
+    d["P"] = (np.ones(len(x), kind) @ de.reshape(len(x), -1)).reshape(WINDOW, DIM)
+    at = np.add((x.ravel() * DIM)[:, None], np.arange(DIM), out=_scratch("at", de.shape, np.intp))
     d["E"] = np.zeros_like(p["E"])
-    d["E"][rows[first]] = np.add.reduceat(de[order], first, axis=0)
+    np.add.at(d["E"].ravel(), at.ravel(), de.ravel())
     return loss, d
 
 
@@ -232,62 +272,70 @@ def train(p: dict, windows: Iterator[np.ndarray], cls: np.ndarray, rate: float =
     for k, s in SHAPES.items():  # views of x
         p[k] = x[at : at + int(np.prod(s))].reshape(s)
         at += p[k].size
-    first, second, d, step_by = (np.zeros_like(x) for _ in range(4))
+    first, second, d = (np.zeros_like(x) for _ in range(3))  # the first two are 10 and 100 times Adam's means
+    slots, cls = _slots(), cls.astype(np.intp)
     seen, step = 0, 0
     for w in windows:
         seen, step = seen + len(w), step + 1
-        target = w[:, 1:].astype(np.int64)
-        _, found = backward(p, slot(w[:, :-1]), cls[target], target != BOS)
+        target = w[:, 1:]
+        _, found = backward(p, slots[w[:, :-1]], cls[target], target != BOS)
         np.concatenate([found[k].ravel() for k in SHAPES], out=d, casting="same_kind")
         first *= np.float32(0.9)
-        first += np.multiply(d, np.float32(0.1), out=step_by)
+        first += d
         d *= d
         second *= np.float32(0.99)
-        second += np.multiply(d, np.float32(0.01), out=d)
-        np.sqrt(np.multiply(second, np.float32(1 / (1 - 0.99**step)), out=d), out=d)
-        d += np.float32(1e-8)
-        np.divide(first, d, out=step_by)
-        step_by *= np.float32(rate / (1 + step / 2000) / (1 - 0.9**step))
-        x -= step_by
+        second += d
+        root = 0.1 / (1 - 0.99**step) ** 0.5
+        np.sqrt(second, out=d)
+        d += np.float32(1e-8 / root)
+        np.divide(first, d, out=d)
+        d *= np.float32(0.1 / root * rate / (1 + step / 2000) / (1 - 0.9**step))
+        x -= d
     return unflat(x), seen
 
 
 def tiles(docs: list[np.ndarray]) -> np.ndarray:
     """Windows of WINDOW + 1 ids, each the id before and WINDOW targets, that tile every document: each id is a target once."""
     size = np.array([len(d) for d in docs], np.int64)
-    ids = np.concatenate([*docs, [BOS]]).astype(np.uint16)
     n = -(-size // WINDOW)
-    doc = np.repeat(np.arange(len(docs)), n)
-    place = ((np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * WINDOW)[:, None] + np.arange(-1, WINDOW)
-    there = (place >= 0) & (place < size[doc][:, None])
-    return ids[np.where(there, (np.cumsum(size) - size)[doc][:, None] + place, len(ids) - 1)]
+    begin = np.cumsum(n) - n
+    out, held = np.empty((n.sum(), WINDOW + 1), np.uint16), np.full(n.sum() * WINDOW, BOS, np.uint16)
+    for at, d in zip((begin * WINDOW).tolist(), docs):
+        held[at : at + len(d)] = d
+    out[:, 1:] = held.reshape(-1, WINDOW)
+    out[1:, 0] = out[:-1, -1]
+    out[begin[n > 0], 0] = BOS
+    return out
 
 
 def score(p: dict, cls: np.ndarray, share: np.ndarray, docs: list[np.ndarray]) -> np.ndarray:
     """Negative log-likelihood of each document (ids)."""
     size = np.array([len(d) for d in docs], np.int64)
-    total = np.zeros(len(docs))
-    if not size.sum():
+    total, there = np.zeros(len(docs)), np.flatnonzero(size)
+    if not len(there):
         return total
-    ids = np.concatenate(docs).astype(np.int64)
-    start = np.cumsum(size) - size
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[start[size > 0]] = BOS
-    x, y = slot(before), cls[ids]
-    n = np.where(size > 0, 1 + np.maximum(0, -(-(size - WINDOW) // STRIDE)), 0)
-    doc = np.repeat(np.arange(len(docs)), n)
-    turn = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-    place = (turn * STRIDE)[:, None] + np.arange(WINDOW)
-    for begin in (0, WINDOW - STRIDE):  # a document's first window is scored whole, of the others only what is new
-        own = np.flatnonzero((turn == 0) == (begin == 0))
+    n = 1 + np.maximum(0, -(-(size[there] - WINDOW) // STRIDE))
+    first = np.cumsum(n + 1) - n - 1  # windows begin every STRIDE places of one array, each document's with one more for its end
+    begin, end = first * STRIDE, first * STRIDE + size[there]
+    ids = np.zeros((first[-1] + n[-1] + 1) * STRIDE + WINDOW - STRIDE, np.uint16)
+    for k, at in zip(there.tolist(), begin.tolist()):
+        ids[at : at + len(docs[k])] = docs[k]
+    before = np.concatenate(([BOS], ids[:-1])).astype(np.uint16)
+    before[begin] = BOS
+    x, y = (np.lib.stride_tricks.sliding_window_view(v, WINDOW)[::STRIDE] for v in (_slots()[before], cls[ids]))
+    later = np.ones(len(x), bool)
+    later[first] = later[first + n] = False
+    value = np.zeros(len(ids))
+    head, new = value[: len(x) * STRIDE].reshape(-1, STRIDE), value[WINDOW - STRIDE :].reshape(-1, STRIDE)
+    for own, skip in ((first, 0), (np.flatnonzero(later), WINDOW - STRIDE)):  # a document's first window is scored whole, of the others only what is new
         for u in range(0, len(own), SMALL):
             part = own[u : u + SMALL]
-            there = place[part, begin:] < size[doc[part]][:, None]
-            at = np.minimum(start[doc[part]][:, None] + place[part], len(ids) - 1)
-            seen = at[:, begin:].ravel()
-            value = target_logp(p, x[at], y[seen], begin) + share[ids[seen]]
-            total -= np.bincount(np.repeat(doc[part], WINDOW - begin)[there.ravel()], value[there.ravel()], len(docs))
+            found = target_logp(p, x[part], y[part, skip:].ravel(), skip).reshape(len(part), -1)
+            if not skip:
+                head[part, : WINDOW - STRIDE] = found[:, : WINDOW - STRIDE]
+            new[part] = found[:, -STRIDE:]
+    value += share[ids]
+    total[there] = -np.add.reduceat(value, np.stack((begin, end), 1).ravel())[::2]
     return total
 
 

@@ -397,6 +397,42 @@ def test_training_sees_every_id_once(spark):
     assert nll[1] < 0.93 * nll[0]
 
 
+def test_cheaper_arithmetic_gives_the_same():
+    rng = np.random.default_rng(21)
+    x, y = rng.integers(0, lmscore.SLOTS, (5, lmscore.WINDOW)), rng.integers(0, lmscore.CLASSES, 5 * lmscore.WINDOW)
+    for big in (1, 30, 1000):  # also where exp overflows
+        p = {k: v.astype(np.float64) * (big if k in "QU" else 1) for k, v in lmscore.initial().items()}
+        p["b"] = rng.normal(0, big, lmscore.CLASSES)
+        inner, outer = lmscore.joined(p)
+        assert np.allclose(inner, p["Q"] @ p["K"].T / 4) and np.allclose(outer, p["V"] @ p["O"])
+        want = lmscore.forward(p, x)[0][np.arange(y.size), y]
+        assert np.allclose(lmscore.target_logp(p, x, y), want, rtol=1e-6, atol=1e-6)
+        loss, d = lmscore.backward(p, x, y.reshape(x.shape), np.ones(x.shape, bool))
+        assert loss == pytest.approx(-want.mean(), rel=1e-6) and all(np.isfinite(v).all() for v in d.values())
+    # parameters after some steps are those of Adam as it is defined
+    windows = [rng.integers(0, 50_000, (40, lmscore.WINDOW + 1)).astype(np.uint16) for _ in range(4)]
+    cls, _ = lmscore.classes(rng.integers(0, 9, lmscore.VOCAB))
+    p = {k: v.astype(np.float64) for k, v in lmscore.initial().items()}
+    m, v = ({k: 0 * w for k, w in p.items()} for _ in range(2))
+    for t, w in enumerate(windows, 1):
+        _, d = lmscore.backward(p, lmscore.slot(w[:, :-1]), cls[w[:, 1:]], w[:, 1:] != lmscore.BOS)
+        for k in p:
+            m[k], v[k] = 0.9 * m[k] + 0.1 * d[k], 0.99 * v[k] + 0.01 * d[k] ** 2
+            p[k] -= lmscore.RATE / (1 + t / 2000) * m[k] / (1 - 0.9**t) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)
+    got, n = lmscore.train(lmscore.initial(), iter(windows), cls)
+    assert n == 160 and all(np.allclose(got[k], p[k], atol=1e-3) for k in p)
+
+
+def test_ids_are_those_of_the_whole_pattern():
+    import tiktoken
+
+    own = lmscore.encoder()
+    whole = tiktoken.Encoding("whole", pat_str=tokencounts.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    rng, some = np.random.default_rng(22), [*tokencounts.BLANK, *"  \n\nab1'.", "'ll", "é", "中", "\x1c", "\u200b"]
+    texts = ["".join(some[i] for i in rng.integers(0, len(some), rng.integers(0, 14))) for _ in range(5000)]
+    assert all(own.ids(t) == np.array(whole.encode_ordinary(t), np.uint16).tobytes() for t in texts)
+
+
 # 4 ----------------------------------------------------------------------------------------------------------------------
 
 
