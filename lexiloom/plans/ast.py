@@ -98,3 +98,21 @@ def fixed(node) -> list | None:
         body = fixed(node.body)
         return None if body is None else body * node.least
     return None
+
+
+def fixed_spans(node, at: int = 0) -> tuple[list, dict[str, tuple[int, int]]] | None:
+    """As fixed(), with bindings: the conditions and, by variable, the offsets where it begins and ends."""
+    if isinstance(node, Bind):
+        body = fixed_spans(node.body, at)
+        return None if body is None else (body[0], body[1] | {node.name: (at, at + len(body[0]))})
+    if isinstance(node, (Seq, Rep)):
+        if isinstance(node, Rep) and node.least != node.most:
+            return None
+        conditions, spans = [], {}
+        for part in node.parts if isinstance(node, Seq) else [node.body] * node.least:
+            found = fixed_spans(part, at + len(conditions))
+            if found is None:
+                return None
+            conditions, spans = conditions + found[0], spans | found[1]
+        return conditions, spans
+    return ([node.condition], {}) if isinstance(node, Token) else None
