@@ -73,9 +73,12 @@ class Browser:
 
     def page(self, number: int = 0) -> DataFrame:
         """One page; rows after it are cut off by a top-k before ranking."""
-        check_count(number, "number")
-        first = number * self.page_size
-        return self._ranked(first + self.page_size).where(F.col("rank") > first).orderBy("rank")
+        return self.pages(number, number)
+
+    def pages(self, first: int, last: int) -> DataFrame:
+        """Pages from first to last, from one pass."""
+        first = check_count(first, "first") * self.page_size
+        return self._ranked((check_count(last, "last") + 1) * self.page_size).where(F.col("rank") > first).orderBy("rank")
 
     def to_html(self, number: int = 0) -> str:
         """A page as a static table."""
