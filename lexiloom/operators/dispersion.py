@@ -1,4 +1,4 @@
-"""How evenly words are spread over files: eight measures in one aggregation by word and file."""
+"""How evenly words are spread over files: eight measures from one table of counts by word and file."""
 
 from __future__ import annotations
 
@@ -6,47 +6,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ieee import NAN, div
-from ..functions.validate import as_column, check_choices, check_columns, output_name
+from ..functions.validate import check_choices, check_columns, output_name
+from .tables import file_counts
 
 COLUMNS = {"range": "range", "range%": "range%", "sd": "sd", "cv": "cv", "cv%": "cv%", "d": "D", "da": "DA", "dp": "DP"}
 
-#: tasks that one word's files are spread over where its frequency is joined to them
-SALTS = 16
-#: ranges of rates to a factor of two, in each of which rates are ranked on their own
-RANGES = 1024
-
-
-def _ranked(every: DataFrame) -> DataFrame:
-    """_u and _R, the sum of 2 i r over a word's files in the order of their rates r, i from 0. Files of one rate are one row;
-    ranks are counted inside narrow ranges of rates, so only a word's ranges, some RANGES * log2(file size), are ordered together."""
-    rates = every.groupBy("_t", "_r").agg(F.count("*").alias("_e")).withColumn("_b", F.floor(F.log2("_r") * RANGES))
-    inside = rates.withColumn("_i", F.sum("_e").over(Window.partitionBy("_t", "_b").orderBy("_r")) - F.col("_e"))
-    e, r = F.col("_e"), F.col("_r")
-    ranges = inside.groupBy("_t", "_b").agg(F.sum("_e").alias("_k"), F.sum(r * e).alias("_w"), F.sum(r * e * (2 * F.col("_i") + e - 1)).alias("_in"))
-    before = F.sum("_k").over(Window.partitionBy("_t").orderBy("_b")) - F.col("_k")
-    return ranges.withColumn("_before", before).groupBy(F.col("_t").alias("_u")).agg(F.sum(F.col("_in") + 2 * F.col("_before") * F.col("_w")).alias("_R"))
-
-
 def dispersion(corpus: DataFrame, expr: str | Column, method: str | list[str] = "dp", min_freq: int = 0, file_id_column: str = "file_id") -> DataFrame:
     """term, freq and the measures asked for. Rows with a null term or file don't count; files without any row left
     aren't files. Words' absence from files is in the formulas: no table of words by files is made."""
     asked = check_choices(method, COLUMNS, "method")
     check_columns(corpus, file_id_column=file_id_column)
     name = output_name(corpus, expr)
-    rows = corpus.select(as_column(expr).alias("_t"), F.col(file_id_column).alias("_f")).where("_t is not null and _f is not null")
-    counts = rows.groupBy("_t", "_f").agg(F.count("*").alias("_c"))  # all below comes from its one shuffle
-    sizes = counts.groupBy("_f").agg(F.sum("_c").alias("_s"))
-    totals = sizes.agg(F.count("*").cast("double").alias("_N"), F.sum("_s").alias("_all"))  # one row
-    every = counts.join(sizes.withColumnRenamed("_f", "_g"), F.col("_f") == F.col("_g")).crossJoin(F.broadcast(totals)).withColumn("_r", F.col("_c") / F.col("_s"))
-    share, one = F.col("_s") / F.col("_all"), F.lit(1.0)
-    sums = [F.sum("_c").alias("freq"), F.count("*").alias("_m"), F.sum("_r").alias("_S"), F.sum(F.col("_r") * F.col("_r")).alias("_Q"), F.first("_N").alias("_N")]
-    if "dp" in asked:  # a word's files are spread over SALTS tasks
-        tf = counts.groupBy(F.col("_t").alias("_u")).agg(F.sum("_c").alias("_tf")).withColumn("_v", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        every = every.join(tf, (F.col("_t") == F.col("_u")) & (F.pmod(F.xxhash64("_f"), F.lit(SALTS)).cast("int") == F.col("_v")))
-        sums.append(F.sum(F.abs(F.col("_c") / F.col("_tf") - share) - share).alias("_D"))
-    terms = every.groupBy("_t").agg(*sums)
+    every = file_counts(corpus, expr, file_id_column).select("_t", "_c", (F.col("_c") / F.col("_s")).alias("_r"))
+    ordered = "da" in asked or "dp" in asked
+    if ordered:  # all of a word's files in one task, where they are sorted by rate and not held
+        every = every.repartition("_t")
+    # shares of words in a file add up to 1, so the files are counted with the tokens and in the same pass and shuffle
+    totals = F.round(F.sum("_r")).alias("_N"), F.sum("_c").cast("double").alias("_all")
+    one, r = F.lit(1.0), F.col("_r")
+    sums = [F.sum("_c").alias("freq"), F.count("*").alias("_m"), F.sum("_r").alias("_S"), F.sum(r * r).alias("_Q")]
+    if ordered:
+        total = every.agg(*totals)  # one row
+        word = Window.partitionBy("_t")
+        columns = [F.sum("_c").over(word).alias("_tf")] if "dp" in asked else []
+        rank = F.row_number().over(word.orderBy("_r")) - 1
+        rows = every.select("*", *([rank.alias("_i")] if "da" in asked else [])).select("*", *columns).crossJoin(F.broadcast(total))
+        share = F.col("_c") / r / F.col("_all")
+        sums += [F.sum(r * 2 * F.col("_i")).alias("_R")] if "da" in asked else []
+        sums += [F.sum(F.abs(F.col("_c") / F.col("_tf") - share) - share).alias("_D")] if "dp" in asked else []
+        terms = rows.groupBy("_t").agg(*sums, F.first("_N").alias("_N"))
+    else:
+        terms = every.groupBy("_t").agg(*sums)
+        # both uses read all columns, so that they share one pass and shuffle
+        total = terms.agg(F.round(F.sum("_S")).alias("_N"), F.max("_m").alias("_m1"), F.max("_Q").alias("_Q1"), F.max("freq").alias("_f1"))
+        terms = terms.crossJoin(F.broadcast(total)).where("_m <= _m1 and _Q <= _Q1 and freq <= _f1").drop("_m1", "_Q1", "_f1")
     if "da" in asked:
-        terms = terms.join(_ranked(every), F.col("_t") == F.col("_u")).withColumn("_P", F.col("_R") + (F.col("_N") + 1 - 2 * F.col("_m")) * F.col("_S"))
+        terms = terms.withColumn("_P", F.col("_R") + (F.col("_N") + 1 - 2 * F.col("_m")) * F.col("_S"))
     terms = terms.where(F.col("freq") >= min_freq)
     n, s = F.col("_N"), F.col("_S")
     sd = F.sqrt(F.greatest(F.lit(0.0), (F.col("_Q") - s * s / n) / n))

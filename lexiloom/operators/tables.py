@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.assoc import freqs
 from ..functions.ieee import div
 from ..functions.validate import as_column, output_name
+from ..sources import tokens as tk
 
 
 def frequencies(df: DataFrame, expr: str | Column, name: str = "freq") -> DataFrame:
@@ -16,6 +17,20 @@ def frequencies(df: DataFrame, expr: str | Column, name: str = "freq") -> DataFr
     return df.select(as_column(expr).alias(column)).groupBy(column).agg(F.count("*").alias(name))
 
 
+def file_counts(df: DataFrame, expr: str | Column, file_id_column: str = "file_id") -> DataFrame:
+    """_t, _f, _c, _s: each value's count in each file where it is, and the file's size; rows with a null in either don't
+    count. A table in order is spread by file before it is cut into words, so that only its texts move."""
+    own = tk.source(df, file_id_column)
+    if own:
+        spread = own.files.where("file_id is not null").repartition(tk.parts(own.files), "file_id")
+        df = own.tokens(spread)
+    rows = df.select(as_column(expr).alias("_t"), F.col(file_id_column).alias("_f")).where("_t is not null and _f is not null")
+    if not own:
+        rows = rows.repartition("_f")
+    counts = rows.groupBy("_f", "_t").agg(F.count("*").alias("_c"))
+    return counts.select("_t", "_f", "_c", F.sum("_c").over(Window.partitionBy("_f")).alias("_s"))
+
+
 def relative(df: DataFrame, expr: str | Column, per: float = 10_000, name: str = "rate") -> DataFrame:
     """Counts and rates per so many tokens."""
     counts = frequencies(df, expr)
