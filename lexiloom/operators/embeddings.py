@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.validate import check_count
 from ..session import prepare
+from ..sources import tokens as tk
 from .search import search
 
 
@@ -54,13 +55,17 @@ def encode_terms(terms: list[str], corpus: DataFrame, model, expr: str = "token"
     parts = []
     for t in terms:
         found = search(corpus, t, **search_kwargs)
-        drawn = found._with(found.matches.orderBy(F.xxhash64("file_id", "start", F.lit(seed)), "file_id", "start").limit(max_matches))
-        rows = drawn.concordance(expr, window, chunk_column, bindings=False)
+        drawn = F.xxhash64("file_id", "start", F.lit(seed)), "file_id", "start"
+        if tk.source(corpus):  # contexts come with the matches, in one pass
+            rows = found.concordance(expr, window, chunk_column, bindings=False).orderBy(*drawn).limit(max_matches)
+        else:
+            rows = found._with(found.matches.orderBy(*drawn).limit(max_matches)).concordance(expr, window, chunk_column, bindings=False)
         sides = [c for c in (f"{expr}_left_context", expr, f"{expr}_right_context") if c in rows.columns]
         parts.append(rows.select(F.lit(t).alias(term_column), F.array_join(F.concat(*sides), " ").alias("_text")))
     asked = spark.createDataFrame([(t,) for t in terms], f"{term_column} string")
     if not parts:
         return asked.withColumn("vector", F.lit(None).cast("array<float>"))
-    vectors = reduce(DataFrame.unionByName, parts).withColumn("_v", encode_column(model, F.col("_text")))
+    spread = reduce(DataFrame.unionByName, parts).repartition(spark.sparkContext.defaultParallelism)  # each term's are in one task
+    vectors = spread.withColumn("_v", encode_column(model, F.col("_text")))
     means = centroid(vectors, "_v", term_column, name="vector").withColumnRenamed(term_column, "_t")
     return asked.join(means, F.col(term_column) == F.col("_t"), "left").select(term_column, "vector")
