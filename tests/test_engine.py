@@ -332,3 +332,95 @@ def test_plans_stay_lean(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "d"))
     plan = search(tk.from_documents(spark.read.parquet(str(tmp_path / "d"))), "the").matches._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "n_chars" not in plan and "source" not in plan
+
+
+# tables in order: what operators do there must agree with what they do on any table --------------------------------------
+
+TEXTS = ["The the of of it. With with walks! the red cats of the end", "", "with the the the the", "the of the of. of of of the dog walks with", "WITH wıth cats. 12 34 56 the", "the", "x. y. with"]
+PATTERNS = ["the", "the _{N}", "the + of", "with $x: _{N}", "the the", "of * the", "+ the"]
+
+
+@pytest.fixture(scope="module")
+def ordered(spark):
+    docs = spark.createDataFrame([(i, x, "en", "s") for i, x in enumerate(TEXTS)], "doc_id bigint, text string, lang string, source string").repartition(3, "doc_id")
+    return tk.from_documents(docs)
+
+
+def plain(df):
+    """The same table without the note that it is in order."""
+    return df.select("*")
+
+
+def same(a, b):
+    assert sorted(a.columns) == sorted(b.columns)
+    cols = sorted(a.columns)
+    assert sorted(map(repr, a.select(*cols).collect())) == sorted(map(repr, b.select(*cols).collect()))
+
+
+@pytest.mark.parametrize("query", PATTERNS)
+@pytest.mark.parametrize("overlapping", [False, True])
+def test_in_order_search(ordered, query, overlapping):
+    a, b = search(ordered, query, overlapping=overlapping), search(plain(ordered), query, overlapping=overlapping)
+    same(a.matches, b.matches)
+    if not overlapping:
+        same(a.concordance(["token", "pos"], window=2, metadata=["lang", "sent"]), b.concordance(["token", "pos"], window=2, metadata=["lang", "sent"]))
+
+
+@pytest.mark.parametrize("query", ["the _{N}", "with _{N}", "_NN1 _NN1"])
+def test_in_order_results(ordered, query):
+    a, b = search(ordered, query), search(plain(ordered), query)
+    for strict in (False, True):
+        same(a.concordance(["token", "pos"], chunk_column="sent", metadata="lang", strict_chunks=strict), b.concordance(["token", "pos"], chunk_column="sent", metadata="lang", strict_chunks=strict))
+    same(a.collocates(F.lower("token").alias("w"), 2, 1), b.collocates(F.lower("token").alias("w"), 2, 1))
+    same(a.with_spans_as_chunks(), b.with_spans_as_chunks())
+
+
+@pytest.mark.parametrize("query", ['[pos!="AJ0"] [token="the"%c] [pos="AJ0"]* [pos="NN.*"]', '$a: ([pos="NN1"]) [pos!="NN1"]* $b: ([token="of|the"%c])', '[pos="NN1"]+', "[]{1,2} [token=\"the\"]"])
+def test_in_order_automaton(ordered, query, monkeypatch):
+    from lexiloom.operators import search as module
+
+    monkeypatch.setattr(module, "CHUNK", 2)
+    same(search_cqp(ordered, query).matches, search_cqp(plain(ordered), query).matches)
+
+
+def test_gap_counts_every_start(ordered):
+    """search_gap_fixed is of every start, as its SQL: 'the the of of' holds two."""
+    assert search(ordered, "the + of", overlapping=True).matches.where("file_id = 0").count() == 2
+    assert search(ordered, "the + of").matches.where("file_id = 0").count() == 1
+
+
+def test_in_order_counts(ordered):
+    from lexiloom.operators.tables import file_counts
+
+    same(file_counts(ordered, F.lower("token")), file_counts(plain(ordered), F.lower("token")))
+    for method in ("sd", "da", "dp", ["range", "d"]):
+        a, b = (dispersion(x, F.lower("token").alias("w"), method) for x in (ordered, plain(ordered)))
+        measures = [c for c in a.columns if c != "w"]
+        a, b = (x.select("w", *[F.round(F.col(c).cast("double"), 9).alias(c) for c in measures]) for x in (a, b))
+        same(a, b)
+
+
+def test_documents_are_cut_once(ordered):
+    """A filter on the number of words would cut every text three times; what isn't asked for isn't made."""
+    plan = ordered.where("token = 'the'").select("file_id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and "lower" not in plan
+
+
+def test_tagged_table(spark, ordered):
+    cols = ["file_id", "idx", "token", "pos", "sent"]
+    texts = tk.tagged_text(ordered)
+    same(texts, tk.tagged_text(plain(ordered)))
+    same(tk.from_tagged_text(texts), ordered.select(*cols))
+    odd = spark.createDataFrame([(1, "\n \na/b/C  d/ \r\n\t\n  e/F\n")], "file_id int, value string")
+    assert [tuple(r)[1:] for r in tk.from_tagged_text(odd).orderBy("idx").collect()] == [(0, "a/b", "C", "B"), (1, "d", " ", "I"), (2, "e", "F", "B")]
+
+
+def test_written_in_order(spark, ordered, tmp_path):
+    tk.write_corpus(ordered, str(tmp_path / "c"), files=2, columns=["file_id", "idx", "token"])
+    same(spark.read.parquet(str(tmp_path / "c")), ordered.select("file_id", "idx", "token"))
+
+
+def test_pos_of(spark):
+    words = ["The", "of", "AND", "12a", "Rapidly", "running", "ended", "able", "cats", "x"]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", tk.pos_rule(F.col("w")).alias("p")).collect()
+    assert [r.p for r in got] == [tk.pos_of(r.w) for r in got]
